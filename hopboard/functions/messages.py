@@ -35,9 +35,9 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     text = F.col(value).cast("string")
     # A compact text becomes its four values, each after a mark; any other text starts with a brace.
     cut = F.split(F.regexp_replace(text, _PLAIN_LAYOUT, f"{_CUT}$1{_CUT}$2{_CUT}$3{_CUT}$4"), _CUT)
+    # The pieces get a projection of their own, as they are used many times. So does the parser: it
+    # would keep the cheap steps before it out of generated code.
     return (
-        # Three projections: the pieces are used many times, and the parser would keep the cheap
-        # steps before it out of generated code if it shared a projection with them.
         messages.withColumn("_cut", F.when(F.startswith(text, F.lit("{")), cut))
         .withColumn("_compact", _compact_event(F.col("_cut")))
         .withColumn("_event", F.coalesce(F.col("_compact"), _escaped_event(text), _parsed_event(text)))

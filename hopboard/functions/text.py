@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The longest query kept, in code points, and the Unicode White_Space characters.
@@ -36,5 +36,18 @@ def collapse_white_space(text: Column) -> Column:
 
 def normalize_query(raw: Column) -> Column:
     """Normalised query, or NULL where the text is blank or longer than the limit."""
-    text = collapse_white_space(lower_per_code_point(trim_white_space(raw)))
+    return _within_limit(collapse_white_space(lower_per_code_point(trim_white_space(raw))))
+
+
+def with_normalized(rows: DataFrame, raw: Column, name: str) -> DataFrame:
+    """Add the normalised query as a column. Each step is a projection, so none is worked out twice."""
+    return (
+        rows.withColumn("_lowered", lower_per_code_point(trim_white_space(raw)))
+        .withColumn("_collapsed", collapse_white_space(F.col("_lowered")))
+        .withColumn(name, _within_limit(F.col("_collapsed")))
+        .drop("_lowered", "_collapsed")
+    )
+
+
+def _within_limit(text: Column) -> Column:
     return F.when((text != "") & (F.char_length(text) <= MAX_QUERY_LEN), text)

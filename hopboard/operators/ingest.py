@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from hopboard.functions.buckets import bucket_of_millis, bucket_of_timestamp, in_live_range
 from hopboard.functions.messages import decode_events
-from hopboard.functions.text import normalize_query
+from hopboard.functions.selecting import keep_where
+from hopboard.functions.text import with_normalized
 from hopboard.params import BoardParams
 
 # Outcomes of a message and reasons for refusing one, in the order they are checked.
@@ -52,12 +53,11 @@ def classify(events: DataFrame, params: BoardParams, arrival: Column | datetime)
         .when(~admitted, OUT_OF_WINDOW)
         .otherwise(CONSUMED)
     )
-    return (
-        events.withColumn("reject_reason", reject_reason(well_formed))
-        .withColumn("norm_query", F.when(F.col("reject_reason").isNull(), normalize_query(F.col("query"))))
-        .withColumn("bucket_id", F.when(F.col("reject_reason").isNull(), bucket_of_millis(F.col("ts_ms"), params)))
-        .withColumn("outcome", outcome)
+    judged = events.withColumn("reject_reason", reject_reason(well_formed)).withColumn(
+        "bucket_id", F.when(F.col("reject_reason").isNull(), bucket_of_millis(F.col("ts_ms"), params))
     )
+    valid_query = F.when(F.col("reject_reason").isNull(), F.col("query"))
+    return with_normalized(judged, valid_query, "norm_query").withColumn("outcome", outcome)
 
 
 def ingest(messages: DataFrame, params: BoardParams, arrival: Column | datetime, value: str = "value") -> DataFrame:
@@ -66,27 +66,21 @@ def ingest(messages: DataFrame, params: BoardParams, arrival: Column | datetime,
 
 def accepted(classified: DataFrame) -> DataFrame:
     """What goes into the window: bucket, normalised query and source of each consumed event."""
-    return classified.where(F.col("outcome") == CONSUMED).select(
-        "bucket_id", F.col("norm_query").alias("query"), "source"
-    )
+    query = F.col("norm_query").alias("query")
+    return keep_where(classified, F.col("outcome") == CONSUMED, "bucket_id", query, "source")
 
 
 def valid_events(events: DataFrame, params: BoardParams) -> DataFrame:
     """Same rows for typed events that are all admitted, as in a replay of history."""
-    return (
-        events.where(reject_reason().isNull())
-        .select(
-            bucket_of_millis(F.col("ts_ms"), params).alias("bucket_id"),
-            normalize_query(F.col("query")).alias("query"),
-            "source",
-        )
-        .where(F.col("query").isNotNull() & F.col("bucket_id").isNotNull())
-    )
+    valid = events.where(reject_reason().isNull()).withColumn("bucket_id", bucket_of_millis(F.col("ts_ms"), params))
+    normalized = with_normalized(valid, F.col("query"), "norm_query")
+    kept = F.col("norm_query").isNotNull() & F.col("bucket_id").isNotNull()
+    return keep_where(normalized, kept, "bucket_id", F.col("norm_query").alias("query"), "source")
 
 
 def quarantined(classified: DataFrame) -> DataFrame:
     """Messages that did not make it into the window, with the outcome and reason."""
-    return classified.where(F.col("outcome") != CONSUMED)
+    return keep_where(classified, F.col("outcome") != CONSUMED, *classified.columns)
 
 
 def outcome_counters() -> list[Column]:
