@@ -6,19 +6,15 @@ without regard to case, the last of several equal names wins, null leaves a fiel
 fields are skipped. Spark's typed `from_json` is looser on each of these points, so it is used only
 for texts in the usual compact layout; those of them without escapes are not parsed but cut at
 their quotes. Every other text is parsed into a map of variants whose types are then checked.
+
+The expressions are SQL texts, as building them call by call takes longer than decoding a small batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The fields of an event and their types.
-EVENT_FIELDS = {"query": "STRING", "source": "STRING", "ts_ms": "BIGINT", "event_id": "STRING"}
-
-_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 # The usual compact layout: {"query":"a","source":"b","ts_ms":1,"event_id":"c"}. Blanks may follow
 # the marks and the last field may be missing. The time has at most 18 digits, so it fits a long.
 _LAYOUT = (
@@ -27,102 +23,73 @@ _LAYOUT = (
 )
 _PLAIN_LAYOUT = _LAYOUT.replace("TEXT", r'[^"\\\x00-\x1F]*+')
 _ESCAPED_LAYOUT = _LAYOUT.replace("TEXT", r'(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+')
-_CUT = "\x01"
+
+# A compact text becomes its four values, each after a control character, which no value has; any
+# other text still starts with its brace.
+_CUT = rf"""
+CASE WHEN startswith(_text, '{{') THEN
+  split(regexp_replace(_text, r'{_PLAIN_LAYOUT}', '\u0001$1\u0001$2\u0001$3\u0001$4'), '\u0001')
+END"""
+
+_COMPACT_EVENT = """
+CASE WHEN get(_cut, 0) = '' THEN
+  named_struct('query', get(_cut, 1), 'source', get(_cut, 2),
+               'ts_ms', CAST(get(_cut, 3) AS BIGINT), 'event_id', get(_cut, 4))
+END"""
+
+_ESCAPED_EVENT = rf"""
+CASE WHEN _text RLIKE r'{_ESCAPED_LAYOUT}' THEN
+  from_json(_text, 'query STRING, source STRING, ts_ms BIGINT, event_id STRING')
+END"""
+
+# Spark's parser stops after the first complete value. The text is therefore wrapped in a list that
+# must go on to a second element holding the text's own hash. A lone `null` is an object without
+# fields. U+017F is the one letter beyond A to Z that counts as another case of a letter in a name.
+# `get(transform(array(x), name -> …), 0)` names a value, so that it is worked out once.
+_HASH = "hex(xxhash64(_text))"
+_WRAPPED = f"""concat('[', _text, ',{{"hash":"', {_HASH}, '"}}]')"""
+_PARSED_EVENT = rf"""
+get(transform(
+  array(from_json({_WRAPPED}, 'ARRAY<MAP<STRING, VARIANT>>',
+                  map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false'))),
+  both -> CASE WHEN size(both) = 2 AND try_variant_get(try_element_at(both[1], 'hash'), '$', 'STRING') = {_HASH} THEN
+    get(transform(
+      array(filter(
+        transform(map_entries(both[0]), entry -> named_struct(
+          'name', lower(replace(entry.key, '{chr(0x17F)}', 's')),
+          'type', schema_of_variant(entry.value),
+          'value', entry.value)),
+        field -> field.name IN ('query', 'source', 'ts_ms', 'event_id') AND field.type <> 'VOID')),
+      given -> CASE
+        WHEN coalesce(exists(given, field -> field.type <> if(field.name = 'ts_ms', 'BIGINT', 'STRING')), false)
+          THEN NULL
+        ELSE named_struct(
+          'query', try_variant_get(try_element_at(filter(given, f -> f.name = 'query'), -1).value, '$', 'STRING'),
+          'source', try_variant_get(try_element_at(filter(given, f -> f.name = 'source'), -1).value, '$', 'STRING'),
+          'ts_ms', try_variant_get(try_element_at(filter(given, f -> f.name = 'ts_ms'), -1).value, '$', 'BIGINT'),
+          'event_id', try_variant_get(try_element_at(filter(given, f -> f.name = 'event_id'), -1).value, '$', 'STRING'))
+        END), 0)
+    END), 0)"""
 
 
 def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """Add the four event fields and `well_formed`; the fields are NULL where the text is refused."""
-    text = F.col(value).cast("string")
-    # A compact text becomes its four values, each after a mark; any other text starts with a brace.
-    cut = F.split(F.regexp_replace(text, _PLAIN_LAYOUT, f"{_CUT}$1{_CUT}$2{_CUT}$3{_CUT}$4"), _CUT)
+    columns = [f"`{name}`" for name in messages.columns]
     # The pieces get a projection of their own, as they are used many times. So does the parser: it
     # would keep the cheap steps before it out of generated code.
     return (
-        messages.withColumn("_cut", F.when(F.startswith(text, F.lit("{")), cut))
-        .withColumn("_compact", _compact_event(F.col("_cut")))
-        .withColumn("_event", F.coalesce(F.col("_compact"), _escaped_event(text), _parsed_event(text)))
-        .select(
-            *[F.col(name) for name in messages.columns],
-            *[F.col("_event")[name].alias(name) for name in ("query", "source", "ts_ms")],
-            F.nullif(F.col("_event")["event_id"], F.lit("")).alias("event_id"),
-            F.col("_event").isNotNull().alias("well_formed"),
+        messages.selectExpr(*columns, f"CAST(`{value}` AS STRING) AS _text")
+        .selectExpr(*columns, "_text", f"{_CUT} AS _cut")
+        .selectExpr(*columns, "_text", f"{_COMPACT_EVENT} AS _compact")
+        .selectExpr(*columns, f"coalesce(_compact, {_ESCAPED_EVENT}, {_PARSED_EVENT}) AS _event")
+        .selectExpr(
+            *columns, "_event.query", "_event.source", "_event.ts_ms",
+            "nullif(_event.event_id, '') AS event_id", "_event IS NOT NULL AS well_formed",
         )
     )
 
 
 def encode_event() -> Column:
     """JSON text of an event; an empty or missing `event_id` is left out."""
-    return F.to_json(F.struct("query", "source", "ts_ms", F.nullif(F.col("event_id"), F.lit("")).alias("event_id")))
-
-
-def _compact_event(cut: Column) -> Column:
-    return F.when(
-        F.get(cut, F.lit(0)) == "",
-        F.struct(
-            F.get(cut, F.lit(1)).alias("query"),
-            F.get(cut, F.lit(2)).alias("source"),
-            F.get(cut, F.lit(3)).cast("bigint").alias("ts_ms"),
-            F.get(cut, F.lit(4)).alias("event_id"),
-        ),
-    )
-
-
-def _escaped_event(text: Column) -> Column:
-    schema = ", ".join(f"{name} {type_name}" for name, type_name in EVENT_FIELDS.items())
-    return F.when(text.rlike(_ESCAPED_LAYOUT), F.from_json(text, schema))
-
-
-def _parsed_event(text: Column) -> Column:
-    """Event from the one JSON object in the text; NULL where there is anything else.
-
-    Spark's parser stops after the first complete value. The text is therefore wrapped in a list
-    that must go on to a second element holding the text's own hash. A lone `null` is an object
-    without fields.
-    """
-    mark = F.hex(F.xxhash64(text))
-    wrapped = F.concat(F.lit("["), text, F.lit(',{"hash":"'), mark, F.lit('"}]'))
-    parsed = F.from_json(wrapped, "ARRAY<MAP<STRING, VARIANT>>", _STRICT_JSON)
-
-    def complete(both: Column) -> Column:
-        end = F.try_element_at(F.get(both, F.lit(1)), F.lit("hash"))
-        return (F.size(both) == 2) & (F.try_variant_get(end, "$", "STRING") == mark)
-
-    def given(both: Column) -> Column:
-        entries = F.transform(F.map_entries(F.get(both, F.lit(0))), _named_value)
-        return F.filter(entries, lambda entry: entry["name"].isin(*EVENT_FIELDS) & (entry["type"] != "VOID"))
-
-    return _let(parsed, lambda both: F.when(complete(both), _let(given(both), _typed_event)))
-
-
-def _named_value(entry: Column) -> Column:
-    """Field name without case, type and value. U+017F is the one other letter that folds to s."""
-    return F.struct(
-        F.lower(F.replace(entry["key"], F.lit("\u017f"), F.lit("s"))).alias("name"),
-        F.schema_of_variant(entry["value"]).alias("type"),
-        entry["value"].alias("value"),
-    )
-
-
-def _typed_event(given: Column) -> Column:
-    def wrong(entry: Column) -> Column:
-        expected = F.when(entry["name"] == "ts_ms", "BIGINT").otherwise("STRING")
-        return entry["type"] != expected
-
-    def last(name: str) -> Column:
-        entry = F.try_element_at(F.filter(given, lambda one: one["name"] == name), F.lit(-1))
-        return F.try_variant_get(entry["value"], "$", EVENT_FIELDS[name])
-
-    return F.when(
-        ~F.coalesce(F.exists(given, wrong), F.lit(False)),
-        F.struct(
-            last("query").alias("query"),
-            last("source").alias("source"),
-            last("ts_ms").alias("ts_ms"),
-            last("event_id").alias("event_id"),
-        ),
-    )
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Name a value inside an expression, so that it is computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.expr("to_json(named_struct('query', query, 'source', source, 'ts_ms', ts_ms, "
+                  "'event_id', nullif(event_id, '')))")

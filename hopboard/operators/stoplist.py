@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hopboard.functions.text import normalize_query
 
-# Changes are folded in runs of this many sequence numbers, the most one task sorts for one word.
+# Changes are folded in runs of this many sequence numbers, the most a task sorts for one word.
 SEQ_PER_RUN = 1_000_000
 
 
@@ -35,7 +35,7 @@ def delete_words(table: DataFrame, words: DataFrame) -> DataFrame:
     return table.join(active_words(words), "word", "left_anti")
 
 
-def change_statuses(table: DataFrame, changes: DataFrame) -> DataFrame:
+def change_statuses(table: DataFrame, changes: DataFrame, seq_per_run: int = SEQ_PER_RUN) -> DataFrame:
     """Outcome of each change in a log (seq, op, word, changed_at), applied in order of seq.
 
     `op` is add or remove. An add is `added`, or `conflict` if the word is there at that point; a
@@ -50,7 +50,7 @@ def change_statuses(table: DataFrame, changes: DataFrame) -> DataFrame:
         "seq", "op", "word", "changed_at",
         normalize_query(F.col("word")).alias("norm_word"),
         (F.col("op") == "add").alias("is_add"),
-        F.call_function("div", F.col("seq"), F.lit(SEQ_PER_RUN).cast("bigint")).alias("run"),
+        F.call_function("div", F.col("seq"), F.lit(seq_per_run).cast("bigint")).alias("run"),
     )
     valid = log.where(F.col("norm_word").isNotNull())
 

@@ -26,6 +26,7 @@ from hopboard.plans.sample import (
     stored_stopwords,
     window_rows,
 )
+from hopboard.sources.files import spread_if_few
 from hopboard.sources.generator import FLOOD_QUERY, FLOOD_SOURCE
 from hopboard.sources.storage import shared_folder
 from hopboard.streaming.bucket_store import BucketStore
@@ -43,7 +44,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(_events(spark, sf_dir))
+    return messages(spread_if_few(_events(spark, sf_dir)))
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all valid events, whatever their age."""
-    return ingest.valid_events(search_events(_events(spark, sf_dir)).where("well_formed"), PARAMS)
+    events = spread_if_few(_events(spark, sf_dir))
+    return ingest.valid_events(search_events(events).where("well_formed"), PARAMS)
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:

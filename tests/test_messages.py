@@ -1,0 +1,130 @@
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from hopboard.functions.messages import decode_events, encode_event
+
+BASE = '"query":"a","source":"s","ts_ms":1'
+BAD = None
+CASES = {
+    "{" + BASE + "}": ("a", "s", 1, None),
+    "{" + BASE + ',"event_id":"e"}': ("a", "s", 1, "e"),
+    "{" + BASE + ',"event_id":""}': ("a", "s", 1, None),
+    '{"query": "a", "source": "s", "ts_ms": 1, "event_id": "e"}': ("a", "s", 1, "e"),
+    ' \r\n\t{"ts_ms":1,"source":"s","query":"a"} \n': ("a", "s", 1, None),
+    '{"query":"a\\"b\\u0041\\n","source":"s","ts_ms":1}': ('a"bA\n', "s", 1, None),
+    '{"query":"a\\qb","source":"s","ts_ms":1}': BAD,
+    '{"query":"a\tb","source":"s","ts_ms":1}': BAD,
+    '{"Query":"a","SOURCE":"s","Ts_Ms":1}': ("a", "s", 1, None),
+    '{"query":"a","\u017fource":"s","t\u017f_ms":1}': ("a", "s", 1, None),
+    '{"\\u0071uery":"a","source":"s","ts_ms":1}': ("a", "s", 1, None),
+    "{" + BASE + ',"query":"b"}': ("b", "s", 1, None),
+    "{" + BASE + ',"QUERY":"b"}': ("b", "s", 1, None),
+    "{" + BASE + ',"query":null}': ("a", "s", 1, None),
+    "{" + BASE + ',"query":5}': BAD,
+    "{" + BASE + ',"event_id":5}': BAD,
+    "{" + BASE + ',"event_id":null}': ("a", "s", 1, None),
+    "{" + BASE + ',"x":{"query":"z","y":[1,2.5,null]}}': ("a", "s", 1, None),
+    "{" + BASE + ',"x":{"y":1,"y":2}}': ("a", "s", 1, None),
+    "{" + BASE + ',"x":NaN}': BAD,
+    '{"query":5,"source":"s","ts_ms":1}': BAD,
+    '{"query":"a","source":{},"ts_ms":1}': BAD,
+    '{"query":"a","source":"s","ts_ms":"1"}': BAD,
+    '{"query":"a","source":"s","ts_ms":1.0}': BAD,
+    '{"query":"a","source":"s","ts_ms":1e3}': BAD,
+    '{"query":"a","source":"s","ts_ms":true}': BAD,
+    '{"query":"a","source":"s","ts_ms":01}': BAD,
+    '{"query":"a","source":"s","ts_ms":-5}': ("a", "s", -5, None),
+    '{"query":"a","source":"s","ts_ms":0}': ("a", "s", 0, None),
+    '{"query":"a","source":"s","ts_ms":9223372036854775807}': ("a", "s", 2**63 - 1, None),
+    '{"query":"a","source":"s","ts_ms":9223372036854775808}': BAD,
+    '{"query":"","source":" ","ts_ms":1}': ("", " ", 1, None),
+    "{}": (None, None, None, None),
+    "null": (None, None, None, None),
+    "": BAD,
+    "  ": BAD,
+    "[]": BAD,
+    "5": BAD,
+    '"x"': BAD,
+    "{bad": BAD,
+    "{invalid json}": BAD,
+    "{'query':'a','source':'s','ts_ms':1}": BAD,
+    "{" + BASE + "} trailing": BAD,
+    "{" + BASE + "}{" + BASE + "}": BAD,
+    "{" + BASE + "},{" + BASE + "}": BAD,
+    "{" + BASE + "}]": BAD,
+    "{" + BASE + "}],[{" + BASE + "}": BAD,
+    "],[": BAD,
+    "{" + BASE + ",}": BAD,
+    "\ufeff{" + BASE + "}": BAD,
+    "\x01a\x01b\x011\x01": BAD,
+    "{" + BASE + "\x01}": BAD,
+}
+
+
+@pytest.fixture(scope="module")
+def decoded(spark):
+    texts = list(CASES)
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "id INT, value STRING")
+    return {texts[row["id"]]: row for row in decode_events(rows).collect()}
+
+
+@pytest.mark.parametrize("text", CASES, ids=range(len(CASES)))
+def test_decoding(decoded, text):
+    row, expected = decoded[text], CASES[text]
+    assert row["well_formed"] == (expected is not None)
+    assert (row["query"], row["source"], row["ts_ms"], row["event_id"]) == (expected or (None,) * 4)
+
+
+def test_binary_values_and_missing_ones(spark):
+    rows = spark.createDataFrame([(bytearray(b'{"query":"\xd1\x8f","source":"s","ts_ms":7}'),), (None,)], "value BINARY")
+    got = {row["query"]: row["well_formed"] for row in decode_events(rows).collect()}
+    assert got == {"я": True, None: False}
+
+
+def strict(text):
+    """The same rules in plain Python, for objects with these four fields only."""
+    fields = json.loads(text)
+    for name in ("query", "source", "event_id"):
+        if not isinstance(fields.get(name), (str, type(None))):
+            return None
+    time = fields.get("ts_ms")
+    if isinstance(time, bool) or not isinstance(time, (int, type(None))) or not -(2**63) <= (time or 0) < 2**63:
+        return None
+    return fields.get("query"), fields.get("source"), time, fields.get("event_id") or None
+
+
+VALUES = st.one_of(
+    st.none(), st.booleans(), st.integers(-(2**64), 2**64), st.just([1]),
+    st.text(st.characters(exclude_categories=("Cs",)), max_size=8),
+)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(data=st.data())
+def test_generated_objects(spark, data):
+    objects = data.draw(st.lists(
+        st.fixed_dictionaries({}, optional={n: VALUES for n in ("query", "source", "ts_ms", "event_id")}),
+        min_size=40, max_size=80,
+    ))
+    texts = [json.dumps(fields, ensure_ascii=i % 2 == 0) for i, fields in enumerate(objects)]
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "id INT, value STRING")
+    for row in decode_events(rows).collect():
+        expected = strict(texts[row["id"]])
+        assert row["well_formed"] == (expected is not None), texts[row["id"]]
+        assert (row["query"], row["source"], row["ts_ms"], row["event_id"]) == (expected or (None,) * 4)
+
+
+def test_encoding_leaves_out_an_empty_event_id(spark):
+    rows = spark.createDataFrame(
+        [('a"b', "s", 1, "e"), ("я", "s", 2, ""), ("c", "s", 3, None)],
+        "query STRING, source STRING, ts_ms BIGINT, event_id STRING",
+    )
+    assert [row[0] for row in rows.select(encode_event()).collect()] == [
+        '{"query":"a\\"b","source":"s","ts_ms":1,"event_id":"e"}',
+        '{"query":"я","source":"s","ts_ms":2}',
+        '{"query":"c","source":"s","ts_ms":3}',
+    ]
+    assert decode_events(rows.select(encode_event().alias("value"))).where("well_formed").count() == 3

@@ -1,0 +1,82 @@
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from hopboard.operators.ingest import accepted, ingest
+from hopboard.operators.ranking import top_as_of
+from hopboard.params import BoardParams
+from hopboard.sources import files, generator, kafka, storage, stopwords
+
+# Nine seconds into a bucket, so that the window reaches back over all 300 seconds of generated times.
+NOW = datetime(2024, 5, 1, 12, 0, 9, tzinfo=timezone.utc)
+PARAMS = BoardParams(counter="exact")
+
+
+def test_kafka_source_options():
+    options = kafka.source_options(["a:9092", "b:9092"], group_id="board", min_partitions=400, max_bytes=0)
+    assert options == {
+        "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "search.events", "startingOffsets": "earliest",
+        "kafka.fetch.min.bytes": "1", "kafka.fetch.max.bytes": "1048576", "kafka.group.id": "board",
+        "minPartitions": "400",
+    }
+    with pytest.raises(ValueError):
+        kafka.source_options([])
+
+
+def test_kafka_sink_and_jdbc_options():
+    assert kafka.sink_options(["a:9092"]) == {"kafka.bootstrap.servers": "a:9092", "topic": "search.events"}
+    assert stopwords.jdbc_options("jdbc:postgresql://db/board", user="u") == {
+        "url": "jdbc:postgresql://db/board", "dbtable": "stop_words", "user": "u",
+    }
+
+
+def test_file_round_trip(spark, tmp_path):
+    events = generator.query_mix(spark, 200, NOW)
+    files.write_events(events, str(tmp_path / "events"))
+    read = files.read_messages(spark, str(tmp_path / "events"))
+    assert accepted(ingest(read, PARAMS, NOW)).count() == 200
+
+
+def test_stopwords_from_parquet(spark, tmp_path):
+    table = spark.createDataFrame([("spam", NOW)], stopwords.STOPWORD_SCHEMA)
+    table.write.parquet(str(tmp_path / "words"))
+    assert stopwords.read_parquet(spark, str(tmp_path / "words")).collect() == table.collect()
+
+
+def board(events):
+    rows = accepted(ingest(kafka.to_messages(events), PARAMS, NOW))
+    return {row["query"]: row["count"] for row in top_as_of(rows, PARAMS, NOW).collect()}
+
+
+def test_fixed_query_from_forty_sources(spark):
+    assert board(generator.fixed_query(spark, "e2e-query", 40, 40, NOW)) == {"e2e-query": 40}
+    assert board(generator.fixed_query(spark, "e2e-query", 40, 7, NOW)) == {"e2e-query": 7}
+    assert board(generator.fixed_query(spark, "e2e-query", 40, 0, NOW)) == {"e2e-query": 40}
+
+
+def test_flood_from_one_source_counts_once(spark):
+    events = generator.bot_flood(spark, NOW)
+    assert events.count() == 1200
+    got = board(events)
+    assert got["накрутка"] == 1
+    assert set(got) == {"накрутка", "слайм", "sixseven", "лабубу", "стикеры"}
+
+
+def test_query_mix_has_all_queries_and_is_repeatable(spark):
+    events = generator.query_mix(spark, 5000, NOW, seed=3)
+    assert events.select("query").distinct().count() == 18
+    assert events.exceptAll(generator.query_mix(spark, 5000, NOW, seed=3).repartition(3)).isEmpty()
+    ages = events.select(F.lit(int(NOW.timestamp()) * 1000) - F.col("ts_ms")).distinct().collect()
+    assert {age[0] for age in ages} == {second * 1000 for second in range(300)}
+
+
+def test_small_inputs_are_spread_and_large_ones_left(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert files.spread_if_few(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, cores + 1)
+    assert files.spread_if_few(many) is many
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

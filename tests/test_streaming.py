@@ -1,0 +1,223 @@
+import threading
+import time
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from hopboard.operators.ingest import accepted, ingest
+from hopboard.operators.ranking import top_as_of
+from hopboard.params import BoardParams
+from hopboard.sources import files, generator
+from hopboard.streaming.bucket_store import BucketStore
+from hopboard.streaming.jobs import keep_running, rebuild, start_ingest, start_rebuilding
+from hopboard.streaming.snapshot_store import SnapshotStore
+
+NOW = datetime(2024, 5, 1, 12, 0, 9, tzinfo=timezone.utc)
+PARAMS = BoardParams(counter="exact")
+ONCE = {"availableNow": True}
+
+
+class Board:
+    """A set of folders and the jobs over them."""
+
+    def __init__(self, spark, root, params):
+        self.spark, self.root, self.params = spark, root, params
+        self.buckets = BucketStore(str(root / "buckets"), params)
+        self.boards = SnapshotStore(str(root / "boards"), params)
+        self.inbox = str(root / "inbox")
+
+    def send(self, events):
+        files.write_events(events, self.inbox)
+
+    def take_in(self, arrival=NOW, sink=None):
+        query = start_ingest(
+            files.stream_messages(self.spark, self.inbox, max_files_per_trigger=2), self.params,
+            sink or self.buckets.write, str(self.root / "checkpoint"), arrival, ONCE,
+        )
+        query.awaitTermination()
+        return query
+
+    def top(self, as_of=NOW, **kwargs):
+        rebuild(self.spark, self.params, self.buckets, self.boards, as_of, **kwargs)
+        return [(row["query"], row["count"]) for row in self.boards.top(self.spark, "1000", as_of).collect()]
+
+
+@pytest.fixture(params=["exact", "hll"])
+def board(request, spark, tmp_path):
+    return Board(spark, tmp_path, replace(PARAMS, counter=request.param))
+
+
+def batch_top(spark, board):
+    rows = accepted(ingest(files.read_messages(spark, board.inbox), PARAMS, NOW))
+    return [(row["query"], row["count"]) for row in top_as_of(rows, PARAMS, NOW).orderBy("rank").collect()]
+
+
+def test_stream_equals_batch(spark, board):
+    board.send(generator.query_mix(spark, 400, NOW))
+    board.take_in()
+    assert board.top() == batch_top(spark, board)
+
+
+def test_restart_goes_on_and_redelivery_changes_nothing(spark, board):
+    first, second = generator.query_mix(spark, 200, NOW, 1), generator.query_mix(spark, 200, NOW, 2)
+    board.send(first)
+    board.take_in()
+    board.send(second)
+    board.take_in()
+    expected = batch_top(spark, board)
+    assert board.top() == expected
+    board.send(first)
+    board.take_in()
+    assert board.top() == expected
+
+
+def test_batch_that_failed_after_writing_is_taken_once(spark, board):
+    board.send(generator.query_mix(spark, 200, NOW))
+
+    def fail_after_write(batch, name):
+        board.buckets.write(batch, name)
+        raise RuntimeError("lost after the write")
+
+    with pytest.raises(Exception, match="lost after the write"):
+        board.take_in(sink=fail_after_write)
+    folders = len(list((board.root / "buckets").glob("bucket_id=*/batch=*")))
+    board.take_in()
+    assert len(list((board.root / "buckets").glob("bucket_id=*/batch=*"))) >= folders > 0
+    assert board.top() == batch_top(spark, board)
+
+
+def test_bad_messages_pass_and_are_counted(spark, tmp_path):
+    board = Board(spark, tmp_path, PARAMS)
+    board.send(generator.fixed_query(spark, "q", 3, 0, NOW).coalesce(1))
+    bad = spark.createDataFrame([("{bad}",), ('{"query":" ","source":"s","ts_ms":5}',)], "value STRING").coalesce(1)
+    bad.write.mode("append").text(board.inbox)
+    query = board.take_in()
+    counted = [progress["observedMetrics"]["ingest_outcomes"] for progress in query.recentProgress if progress["numInputRows"]]
+    assert sum(row["messages"] for row in counted) == 5
+    assert sum(row["invalid"] for row in counted) == 1
+    assert sum(row["norm_dropped"] for row in counted) == 1
+    assert sum(row["consumed"] for row in counted) == 3
+    assert board.top() == [("q", 3)]
+
+
+def test_default_arrival_is_the_time_of_the_batch(spark, tmp_path):
+    board = Board(spark, tmp_path, PARAMS)
+    now = datetime.now(timezone.utc)
+    board.send(generator.fixed_query(spark, "fresh", 2, 0, now))
+    board.send(generator.fixed_query(spark, "stale", 2, 0, now - timedelta(minutes=10)))
+    board.take_in(arrival=None)
+    assert board.top(now) == [("fresh", 2)]
+
+
+def test_arrival_column(spark, tmp_path):
+    board = Board(spark, tmp_path, PARAMS)
+    board.send(generator.fixed_query(spark, "q", 2, 0, NOW))
+    board.take_in(arrival=F.timestamp_millis(F.lit(int(NOW.timestamp()) * 1000)))
+    assert board.top() == [("q", 2)]
+
+
+def test_window_slides_without_events(spark, board):
+    board.send(generator.fixed_query(spark, "q", 2, 0, NOW))
+    board.take_in()
+    assert board.top() == [("q", 2)]
+    assert board.top(NOW + timedelta(seconds=290)) == [("q", 2)]
+    assert board.top(NOW + timedelta(seconds=300)) == []
+
+
+def test_ban_is_applied_on_reading_and_lifting_it_restores_the_count(spark, board):
+    board.send(generator.fixed_query(spark, "spam", 3, 0, NOW))
+    board.take_in()
+    words = spark.createDataFrame([("spam",)], "word STRING")
+    assert board.top(stoplist=lambda: words) == []
+    assert board.top(stoplist=lambda: None) == [("spam", 3)]
+
+
+def test_first_read_gives_an_empty_board(spark, board):
+    document = board.boards.top_document(spark, "", NOW).first()["document"]
+    assert document == '{"data":[],"timestamp":1714564809,"window_sec":300}'
+    assert board.boards.top(spark, "", NOW).count() == 0
+    assert board.top() == []
+
+
+def test_unfinished_board_is_not_read(spark, board):
+    assert board.top() == []
+    unfinished = board.root / "boards" / f"generated_micros={2**62:020d}"
+    unfinished.mkdir()
+    assert board.boards.latest(spark, NOW).count() == 1
+
+
+def test_limit_is_checked(spark, board):
+    with pytest.raises(ValueError):
+        board.boards.top(spark, "0", NOW)
+
+
+def test_old_buckets_and_boards_are_deleted(spark, board):
+    board.send(generator.query_mix(spark, 200, NOW))
+    board.take_in()
+    _, current = board.params.live_range(NOW)
+    before = len(list((board.root / "buckets").glob("bucket_id=*")))
+    assert board.buckets.drop_before(spark, current - 9) == before - 10
+    for second in range(3):
+        board.top(NOW + timedelta(seconds=second))
+    assert board.boards.keep_newest(spark, 1) == 2
+    assert board.boards.latest(spark, NOW).first()["generated_at"] == datetime(2024, 5, 1, 12, 0, 11)
+
+
+def test_rebuilding_goes_on_by_itself(spark, tmp_path):
+    board = Board(spark, tmp_path, PARAMS)
+    board.send(generator.fixed_query(spark, "q", 2, 0, NOW))
+    board.take_in()
+    ticks = []
+
+    def clock():
+        ticks.append(len(ticks))
+        return NOW + timedelta(seconds=len(ticks))
+
+    query = start_rebuilding(
+        spark, PARAMS, board.buckets, board.boards, str(tmp_path / "ticker"), "200 milliseconds", clock=clock
+    )
+    deadline = time.time() + 60
+    while len(ticks) < 4 and time.time() < deadline:
+        time.sleep(0.2)
+    query.stop()
+    assert len(ticks) >= 4
+    assert board.boards.top(spark, "", NOW).first()["query"] == "q"
+
+
+def test_failed_job_is_restarted_from_its_checkpoint(spark, tmp_path):
+    board = Board(spark, tmp_path, PARAMS)
+    board.send(generator.fixed_query(spark, "q", 2, 0, NOW))
+    attempts = []
+
+    def sink(batch, name):
+        attempts.append(name)
+        if len(attempts) == 1:
+            raise RuntimeError("source is away")
+        board.buckets.write(batch, name)
+
+    def start():
+        return start_ingest(
+            files.stream_messages(spark, board.inbox), PARAMS, sink, str(tmp_path / "checkpoint"), NOW, ONCE
+        )
+
+    assert keep_running(start, threading.Event(), delay_seconds=0.1) == 1
+    assert attempts[0] == attempts[1] and "None" not in attempts[0]
+    assert board.top() == [("q", 2)]
+
+
+def test_stopping_ends_a_running_job(spark, tmp_path):
+    board = Board(spark, tmp_path, PARAMS)
+    board.send(generator.fixed_query(spark, "q", 1, 0, NOW))
+    stopped = threading.Event()
+
+    def start():
+        threading.Timer(2, stopped.set).start()
+        return start_ingest(
+            files.stream_messages(spark, board.inbox), PARAMS, board.buckets.write,
+            str(tmp_path / "checkpoint"), NOW, {"processingTime": "100 milliseconds"},
+        )
+
+    assert keep_running(start, stopped) == 0
+    assert not spark.streams.active

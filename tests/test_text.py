@@ -1,0 +1,54 @@
+import pytest
+from pyspark.sql import functions as F
+
+from hopboard.functions.text import normalize_query, with_normalized
+
+EMOJI = "\U0001f600"
+CASES = [
+    ("golang", "golang"),
+    ("  golang  ", "golang"),
+    ("Go Lang", "go lang"),
+    ("  Go   Lang  ", "go lang"),
+    ("", None),
+    ("   ", None),
+    ("iPhone\t15", "iphone 15"),
+    ("iPhone\n15", "iphone 15"),
+    ("а" * 256, "а" * 256),
+    ("а" * 257, None),
+    ("a\u00a0b", "a\u00a0b"),
+    ("a\u00a0b  c", "a b c"),
+    ("a\u00a0b c", "a b c"),
+    ("a \u2003 b", "a b"),
+    ("\u3000x\u3000", "x"),
+    ("\u0085\u2028x\u205f", "x"),
+    ("\u200bx\ufeff", "\u200bx\ufeff"),
+    ("İX", "ix"),
+    ("ΟΔΟΣ", "οδοσ"),
+    ("ΟΔΟΣ ΟΔΟΣ", "οδοσ οδοσ"),
+    ("СЛАЙМ Ёж", "слайм ёж"),
+    (EMOJI * 256, EMOJI * 256),
+    (EMOJI * 257, None),
+    ("a" + " " * 300 + "b", "a b"),
+    ("a\u000bb\u000cc\rd", "a b c d"),
+    ("a\u001cb", "a\u001cb"),
+    (None, None),
+]
+
+
+def test_normalisation(spark):
+    rows = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(CASES)], "id INT, raw STRING")
+    both = with_normalized(rows.withColumn("direct", normalize_query(F.col("raw"))), F.col("raw"), "staged")
+    for row in both.collect():
+        raw, expected = CASES[row["id"]]
+        assert row["direct"] == row["staged"] == expected, repr(raw)
+
+
+def test_long_white_space_runs_take_linear_time(spark):
+    rows = spark.range(50).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 200_000), F.lit("b")).alias("raw"))
+    assert with_normalized(rows, F.col("raw"), "query").where("query = 'a b'").count() == 50
+
+
+@pytest.mark.parametrize("code", [0x9, 0xB, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2029, 0x202F, 0x205F, 0x3000])
+def test_white_space_is_trimmed(spark, code):
+    text = chr(code) + "x" + chr(code)
+    assert spark.range(1).select(normalize_query(F.lit(text)).alias("q")).first()["q"] == "x"
