@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopboard.functions.text import normalize_query
+from hopboard.functions.selecting import keep_where
+from hopboard.functions.text import with_normalized
 
 # Changes are folded in runs of this many sequence numbers, the most a task sorts for one word.
 SEQ_PER_RUN = 1_000_000
@@ -13,7 +14,8 @@ SEQ_PER_RUN = 1_000_000
 
 def active_words(table: DataFrame) -> DataFrame:
     """Words in force: normalised, without invalid ones and repeats."""
-    return table.select(normalize_query(F.col("word")).alias("word")).where(F.col("word").isNotNull()).distinct()
+    normalized = with_normalized(table.select(F.col("word").alias("stored")), F.col("stored"), "word")
+    return keep_where(normalized, F.col("word").isNotNull(), "word").distinct()
 
 
 def sorted_words(words: DataFrame) -> DataFrame:
@@ -46,13 +48,13 @@ def change_statuses(table: DataFrame, changes: DataFrame, seq_per_run: int = SEQ
     Seq is unique. A word with very many changes is handled in runs of seq, so that no task sorts
     all of them: the state at the start of a run comes from one row for each earlier run.
     """
-    log = changes.select(
-        "seq", "op", "word", "changed_at",
-        normalize_query(F.col("word")).alias("norm_word"),
-        (F.col("op") == "add").alias("is_add"),
-        F.call_function("div", F.col("seq"), F.lit(seq_per_run).cast("bigint")).alias("run"),
+    log = with_normalized(changes.select("seq", "op", "word", "changed_at"), F.col("word"), "norm_word")
+    run = F.call_function("div", F.col("seq"), F.lit(seq_per_run).cast("bigint"))
+    columns = ["seq", "op", "word", "norm_word", "changed_at"]
+    valid = keep_where(
+        log, F.col("norm_word").isNotNull(), *columns, (F.col("op") == "add").alias("is_add"), run.alias("run")
     )
-    valid = log.where(F.col("norm_word").isNotNull())
+    invalid = keep_where(log, F.col("norm_word").isNull(), *columns, F.lit("invalid").alias("status"))
 
     run_ends = valid.groupBy("norm_word", "run").agg(F.max_by("is_add", "seq").alias("is_add_last"))
     earlier_runs = Window.partitionBy("norm_word").orderBy("run")
@@ -71,10 +73,9 @@ def change_statuses(table: DataFrame, changes: DataFrame, seq_per_run: int = SEQ
     status = (
         F.when(~F.col("is_add"), "removed").when(F.col("present_before"), "conflict").otherwise("added")
     )
-    columns = ["seq", "op", "word", "norm_word", "changed_at"]
     return (
         judged.select(*columns, status.alias("status"))
-        .unionByName(log.where(F.col("norm_word").isNull()).select(*columns, F.lit("invalid").alias("status")))
+        .unionByName(invalid)
         .withColumn("echo", F.when(F.col("op") == "add", F.coalesce("norm_word", "word")).otherwise(F.col("word")))
     )
 

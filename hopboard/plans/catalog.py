@@ -40,11 +40,11 @@ SKETCH_PARAMS = replace(PARAMS, counter="hll")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events")
+    return spread_if_few(read_table(spark, sf_dir, "events"))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spread_if_few(_events(spark, sf_dir)))
+    return messages(_events(spark, sf_dir))
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all valid events, whatever their age."""
-    events = spread_if_few(_events(spark, sf_dir))
-    return ingest.valid_events(search_events(events).where("well_formed"), PARAMS)
+    return ingest.valid_events(search_events(_events(spark, sf_dir)).where("well_formed"), PARAMS)
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
