@@ -27,8 +27,9 @@ def counts_per_tick(rows: DataFrame, params: BoardParams, last_tick: Column | in
         stretches.select("query", F.inline(F.array(_step("start", 1), _step("stop", -1))))
         .groupBy("query", "tick")
         .agg(F.sum("change").alias("change"))
-        .where(F.col("change") != 0)
     )
+    # Steps that cancel out are kept: with them no two steps of a live query are further apart than
+    # the window is long, which bounds the sequences below.
     by_tick = Window.partitionBy("query").orderBy("tick")
     levels = steps.select(
         "query",
