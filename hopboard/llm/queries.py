@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from hopboard.llm.common import read_table
 from hopboard.llm.embedding_dedup import linked_vectors
+from hopboard.llm.line_dedup import build_index, clean, line_keys
 from hopboard.llm.minhash_dedup import near_duplicates
+from hopboard.llm.oracle import ORACLE_SQL
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them have."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = line_keys(docs)
+    cleaned = clean(docs, build_index(lines, min_docs=10), lines)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +32,7 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
