@@ -56,8 +56,35 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(s.b, d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN smallest s ON s.a = d.doc_id
 """
 
+_WORDS9 = f"""list_filter(regexp_split_to_array({_AZ.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+
+OP9 = f"""
+WITH items AS (SELECT item_id, {_WORDS9} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n,
+         unnest(list_transform(range(1, greatest(len(words) - 10, 0) + 2), lambda i: array_to_string(words[i:i + least(len(words), 10) - 1], ' '))) AS string
+  FROM items WHERE len(words) > 0
+),
+docs AS (SELECT doc_id, {_WORDS9} AS words FROM documents),
+runs AS (
+  SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS string
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n)
+),
+found AS (SELECT doc_id, n, i, item_id FROM runs JOIN windows USING (n, string)),
+hits AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM found) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_line_dedup": OP1,
     "op6_embedding_dedup": OP6,
     "op7_minhash_dedup": OP7,
+    "op9_decontamination": OP9,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopboard.llm.common import read_table
+from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
 from hopboard.llm.line_dedup import build_index, clean, line_keys
 from hopboard.llm.minhash_dedup import near_duplicates
@@ -31,8 +32,18 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside passages of ten words that a benchmark item has too."""
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_decontamination": op9_decontamination,
 }
