@@ -10,7 +10,17 @@ from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
 from hopboard.llm.line_dedup import build_index, clean, line_keys
 from hopboard.llm.minhash_dedup import near_duplicates
+from hopboard.llm.mixing import mix
 from hopboard.llm.oracle import ORACLE_SQL
+from hopboard.llm.url_filter import judge
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +42,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of pages."""
+    return judge(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside passages of ten words that a benchmark item has too."""
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
@@ -41,9 +56,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources to their target weights takes from each document."""
+    return mix(read_table(spark, sf_dir, "documents"), ["doc_id"]).documents
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
 }
