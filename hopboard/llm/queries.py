@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopboard.llm.common import read_table
+from hopboard.llm import language, quality
+from hopboard.llm.common import in_training, read_table
 from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
 from hopboard.llm.line_dedup import build_index, clean, line_keys
@@ -31,6 +32,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")), ["doc_id"], with_text=False)
+    return scored.select(
+        "doc_id", (~in_training("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs), ["doc_id"])
+    return found.select("doc_id", (~in_training("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors at a cosine of 0.98 or more within a label."""
     return linked_vectors(read_table(spark, sf_dir, "embeddings"), 0.98)
@@ -63,6 +80,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_language_id": op4_language_id,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
