@@ -1,18 +1,15 @@
 """Quality scores by positive-unlabelled learning with a non-negative risk.
 
-Trusted positives are documents labelled 1 in the training part; everything else, whatever its label, is
-unlabelled web text. A linear model with logistic loss minimises
+Trusted positives are documents labelled 1 in the training part; the documents as they come, whatever their
+labels, are the unlabelled web text, for which the class prior holds. A linear model with logistic loss minimises
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]),
-the unbiased risk with its part for the negatives kept from falling below zero: where it would, the
-step goes back up that part. The prior is the share of positives among all labelled training documents,
-or without negatives the share that the model of labelled against unlabelled text suggests. Where
-training labels of both kinds exist, a two-parameter logistic fit on the margins of at most SAMPLE
-documents of each kind makes the scores probabilities.
+the unbiased risk with its part for the negatives kept from falling below zero: where it would, that
+part is left out. The prior is the share of positives among all labelled training documents,
+or without negatives the share that a model of labelled against unlabelled text suggests.
 
 A document is described by the frequencies of pairs of character classes, repetition of words and lines,
-and its length, over its whole text. The model is fitted on at most SAMPLE positives, SAMPLE unlabelled
-documents and SAMPLE negatives (for the calibration only), those with the smallest hashes of their ids;
-all documents are scored.
+and its length, over its whole text. The model is fitted on at most SAMPLE positives and SAMPLE unlabelled
+documents, those with the smallest hashes of their ids; all documents are scored.
 
 Defined cases: null and empty texts have zero frequencies and get a score like any other. A document with
 several labels counts as positive if one is 1. Labels without id or value are ignored. Without trusted
@@ -33,8 +30,9 @@ from hopboard.llm.common import in_training, texts
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
-EPOCHS = 30
-BATCH = 2000
+STEPS = 400
+RATE = 0.05
+DECAY = 1e-4
 
 
 def _class_table() -> bytes:
@@ -95,17 +93,16 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Linear margins on standardised features; `scale` and `offset` turn them into scores."""
+    """Linear margins on standardised features, turned into scores by the logistic function."""
 
     def __init__(self, mean: np.ndarray, spread: np.ndarray, weights: np.ndarray, bias: float):
         self.mean, self.spread, self.weights, self.bias = mean, spread, weights, bias
-        self.scale, self.offset = 1.0, 0.0
 
     def margins(self, rows: np.ndarray) -> np.ndarray:
         return ((rows - self.mean) / self.spread) @ self.weights + self.bias
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        return sigmoid(self.scale * self.margins(rows) + self.offset)
+        return sigmoid(self.margins(rows))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,31 +114,23 @@ def constant_model(score: float) -> Model:
     return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(score / (1 - score))))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = EPOCHS, decay: float = 1e-4) -> Model:
-    """Model with the least non-negative risk, by stochastic gradient steps with momentum estimates."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS) -> Model:
+    """Model with the least non-negative risk, by gradient steps on all rows with estimates of momentum."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     model = Model(both.mean(axis=0), both.std(axis=0) + 1e-3, np.zeros(both.shape[1]), 0.0)
     p = np.c_[(positive - model.mean) / model.spread, np.ones(len(positive))]
     u = np.c_[(unlabelled - model.mean) / model.spread, np.ones(len(unlabelled))]
     if prior is None:
         prior = _prior_from_unlabelled(p, u)
-    random = np.random.default_rng(5)
-    w, first, second, step = np.zeros(p.shape[1]), 0.0, 0.0, 0
-    parts = max(1, -(-max(len(p), len(u)) // BATCH))
-    for _ in range(epochs):
-        for rows_p, rows_u in zip(np.array_split(random.permutation(len(p)), parts), np.array_split(random.permutation(len(u)), parts)):
-            if not len(rows_p) or not len(rows_u):
-                continue
-            a, b = p[rows_p], u[rows_u]
-            za, zb = sigmoid(a @ w), sigmoid(b @ w)
-            up = prior * (a.T @ (za - 1)) / len(a)
-            down = b.T @ zb / len(b) - prior * (a.T @ za) / len(a)
-            negative = -np.log1p(-zb.clip(max=1 - 1e-12)).mean() + prior * np.log1p(-za.clip(max=1 - 1e-12)).mean()
-            gradient = up + down if negative >= 0 else -down
-            gradient = gradient + decay * w
-            step += 1
-            first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-            w = w - 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    loss = lambda scores: -np.log1p(-scores.clip(max=1 - 1e-12)).mean()  # noqa: E731  of a negative
+    w, first, second = np.zeros(p.shape[1]), 0.0, 0.0
+    for step in range(1, steps + 1):
+        of_p, of_u = sigmoid(p @ w), sigmoid(u @ w)
+        gradient = prior * (p.T @ (of_p - 1)) / len(p) + DECAY * w
+        if loss(of_u) - prior * loss(of_p) >= 0:
+            gradient += u.T @ of_u / len(u) - prior * (p.T @ of_p) / len(p)
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     model.weights, model.bias = w[:-1], float(w[-1])
     return model
 
@@ -156,23 +145,6 @@ def _prior_from_unlabelled(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(len(p) / len(u) * np.median(odds(p)) * np.mean(1 / odds(u)), 0.05, 0.95))
 
 
-def calibrate(model: Model, positive: np.ndarray, negative: np.ndarray, prior: float) -> None:
-    """Logistic fit of the labels on the margins, the kinds weighted by the prior."""
-    x = np.r_[model.margins(positive), model.margins(negative)]
-    y = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
-    weight = np.r_[np.full(len(positive), prior / len(positive)), np.full(len(negative), (1 - prior) / len(negative))]
-    spread = x.std() + 1e-9
-    design = np.c_[x / spread, np.ones(len(x))]
-    fitted = np.array([1.0, 0.0])
-    for _ in range(50):
-        z = sigmoid(design @ fitted)
-        gradient = design.T @ (weight * (z - y)) + 1e-3 * np.array([fitted[0], 0.0])
-        hessian = design.T @ (design * (weight * z * (1 - z))[:, None]) + 1e-3 * np.eye(2)
-        fitted = fitted - np.linalg.solve(hessian, gradient)
-    if fitted[0] > 0:
-        model.scale, model.offset = float(fitted[0] / spread), float(fitted[1])
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from documents (doc_id, text) and the training part of labels (doc_id, quality)."""
     trusted = (
@@ -189,26 +161,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy("kind", "doc_id").agg(F.any_value("features").alias("features"))
         .orderBy("kind", F.xxhash64("doc_id"), "doc_id").select("kind", "features").collect()
     )
-    by_kind = {kind: [bytes(row["features"]) for row in rows if row["kind"] == kind] for kind in ("positive", "unlabelled", "negative")}
+    by_kind = {kind: [bytes(row["features"]) for row in rows if row["kind"] == kind] for kind in ("positive", "unlabelled")}
     matrix = {kind: np.frombuffer(b"".join(values), np.float32).reshape(-1, FEATURES) for kind, values in by_kind.items()}
     if not len(matrix["positive"]) or not len(matrix["unlabelled"]):
         return constant_model(0.5 if prior is None else prior)
-    model = fit(matrix["positive"], matrix["unlabelled"], prior)
-    if prior is not None and len(matrix["negative"]):
-        calibrate(model, matrix["positive"], matrix["negative"], prior)
-    return model
+    return fit(matrix["positive"], matrix["unlabelled"], prior)
 
 
 def _picked(docs: DataFrame, trusted: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` ids of each kind; an id may be both unlabelled and negative."""
+    """At most `sample` ids of each kind; an id of the unlabelled text may be of another kind too."""
     first = lambda ids, kind: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("kind", F.lit(kind))
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     positive = trusted.where("quality = 1").select("doc_id")
-    return (
-        first(positive, "positive")
-        .unionByName(first(trusted.where("quality = 0").select("doc_id"), "negative"))
-        .unionByName(first(ids.join(positive, "doc_id", "left_anti"), "unlabelled"))
-    )
+    return first(positive, "positive").unionByName(first(ids, "unlabelled"))
 
 
 def _scored(model: Model):
