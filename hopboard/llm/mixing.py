@@ -92,8 +92,9 @@ def mix(
     )
     pieces = _pieces(_positions(numbered, units.count()), block_words)
     slots = _slots(sources, slots_per_shard, seed)
+    # Slots come from few rows, which Spark takes for a small table; both sides grow with the input.
     taken = (
-        slots.join(pieces, (slots["source_no"] == pieces["source_no"]) & (slots["index"] == pieces["block"]))
+        slots.hint("merge").join(pieces, (slots["source_no"] == pieces["source_no"]) & (slots["index"] == pieces["block"]))
         .groupBy("row_no").agg(F.sum("words").alias("taken"))
     )
     facts = sources.select(F.col("source").alias("of"), "source_size", "target")
