@@ -15,6 +15,15 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id
 """
 
+OP2 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+latest AS (SELECT digest, max(page_id) AS latest FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN coalesce(latest, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN coalesce(latest, page_id) <> page_id THEN latest END AS refers_to
+FROM p LEFT JOIN latest USING (digest)
+"""
+
 OP6 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
@@ -84,6 +93,7 @@ FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1,
+    "op2_warc": OP2,
     "op6_embedding_dedup": OP6,
     "op7_minhash_dedup": OP7,
     "op9_decontamination": OP9,

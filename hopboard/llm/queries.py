@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopboard.llm import language, quality
-from hopboard.llm.common import in_training, read_table
+from hopboard.llm.common import in_training, read_table, scratch_path
 from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
 from hopboard.llm.line_dedup import build_index, clean, line_keys
 from hopboard.llm.minhash_dedup import near_duplicates
 from hopboard.llm.mixing import mix
 from hopboard.llm.oracle import ORACLE_SQL
+from hopboard.llm.token_counts import read_vocabulary, token_counts
 from hopboard.llm.url_filter import judge
+from hopboard.llm.warc import page_facts, page_records, read_warc, write_warc
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -32,6 +34,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    path = scratch_path(spark, "warc")
+    write_warc(page_records(read_table(spark, sf_dir, "pages")), path)
+    return page_facts(read_warc(spark, path))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = read_table(spark, sf_dir, "documents")
@@ -48,6 +57,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~in_training("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents and of each of their lines."""
+    found = token_counts(read_table(spark, sf_dir, "documents"), read_vocabulary(spark), rule="largest")
+    return found.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.col("section_tokens").cast("array<bigint>").alias("line_tokens"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors at a cosine of 0.98 or more within a label."""
     return linked_vectors(read_table(spark, sf_dir, "embeddings"), 0.98)
@@ -80,8 +95,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_warc": op2_warc,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_url_filter": op8_url_filter,
