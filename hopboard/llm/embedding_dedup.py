@@ -8,7 +8,7 @@ visiting rows of its own home cell, whatever the centroids are, and its links ar
 Cells of more than BLOCK rows are compared block by block, so that no task holds more than two blocks.
 
 Centroids are fitted on at most SAMPLE rows, those with the smallest hashes of their ids; all rows are
-assigned. The number of cells follows the number of rows up to MAX_CELLS, which bounds what is sent to
+assigned. The number of cells follows the rows of the largest label up to MAX_CELLS, which bounds what is sent to
 the tasks; beyond that, cells have more blocks.
 
 Defined cases: a row with a null label, or with a vector that is null, empty, zero, or has null or
@@ -195,9 +195,9 @@ def linked_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
 
 def _centroids(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Centroids for each vector length among the sample."""
-    total = classes.count()
-    cells = min(MAX_CELLS, -(-total // ROWS_PER_CELL))
+    """Centroids for each vector length among the sample; the largest label decides how many."""
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    cells = min(MAX_CELLS, -(-largest // ROWS_PER_CELL))
     sample = classes.select("size", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
     by_size: dict[int, list[bytes]] = {}
     for row in sample:
