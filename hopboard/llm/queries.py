@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hopboard.llm import language, quality
 from hopboard.llm.common import in_training, read_table, scratch_path
 from hopboard.llm.decontamination import contamination
@@ -104,4 +105,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
