@@ -1,0 +1,65 @@
+import numpy as np
+import pytest
+
+from hopboard.llm import language
+from hopboard.llm.queries import op4_language_id
+
+
+def test_held_out_accuracy(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "lang AS truth")
+    rows = op4_language_id(spark, sf_dir).join(truth, "doc_id").where("held_out").collect()
+    assert len(rows) > 100 and np.mean([row["lang_pred"] == row["truth"] for row in rows]) >= 0.97
+
+
+ENGLISH = "the quick brown fox jumps over the lazy dog and then the other dogs were there with that thing "
+GERMAN = "der schnelle braune fuchs springt über den faulen hund und dann waren die anderen hunde auch noch dort "
+
+
+@pytest.fixture
+def corpus(spark):
+    rows = [(i, ENGLISH * (1 + i % 3), "en") for i in range(8)] + [(i, GERMAN * (1 + i % 3), "de") for i in range(8, 16)]
+    rows += [(16, None, "en"), (17, "", "de"), (18, ENGLISH, None)]
+    return spark.createDataFrame([(*row, "x", 0.1) for row in rows], "doc_id long, text string, lang string, languages string, score double")
+
+
+def test_mixtures_and_odd_texts(spark, corpus):
+    model = language.train(corpus)
+    assert model.langs == ["de", "en"]
+    texts = [None, "", "123 .,!", "ENGLISH fox over the dog", GERMAN, ENGLISH * 3 + GERMAN, ENGLISH * 2000 + GERMAN * 2000, "漢字"]
+    frame = spark.createDataFrame([(i, text, "x") for i, text in enumerate(texts)], "doc_id long, text string, lang_pred string")
+    rows = language.identify(frame, model, ["doc_id"]).orderBy("doc_id").collect()
+    assert [row["lang_pred"] for row in rows[:5]] == ["und", "und", "und", "en", "de"]
+    assert all(row["score"] == 0 and not row["languages"] for row in rows[:3])
+    shares = {pair["lang"]: pair["share"] for pair in rows[5]["languages"]}
+    assert shares["en"] == pytest.approx(0.75, abs=0.05) and rows[5]["score"] == shares["en"] and rows[5]["lang_pred"] == "en"
+    assert len(rows[6]["languages"]) == 2 and len(rows[4]["languages"]) == 1 and rows[4]["score"] == 1
+    assert rows[7]["lang_pred"] in ("de", "en")
+
+
+def test_counts_are_whole_and_held_out_rows_are_left_alone(corpus):
+    model = language.train(corpus)
+    learned = corpus.where("lang IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) <> 2").collect()
+    for lang in ("de", "en"):
+        counts = np.zeros(language.BUCKETS)
+        for row in learned:
+            if row["lang"] == lang and row["text"]:
+                counts += np.bincount(language.trigrams(row["text"]), minlength=language.BUCKETS)
+        shares = (counts + language.SMOOTHING) / (counts.sum() + language.SMOOTHING * language.BUCKETS)
+        # Texts are counted end to end; where two meet, the word ends make one trigram more.
+        assert np.abs(model.chances[model.langs.index(lang)] - shares).max() < 2e-3
+
+
+def test_nothing_learned(corpus):
+    model = language.train(corpus.limit(0))
+    assert {row["lang_pred"] for row in language.identify(corpus, model, ["doc_id"]).collect()} == {"und"}
+    assert language.identify(corpus.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_proportions_make_the_counts_likelier():
+    random = np.random.default_rng(1)
+    p = random.dirichlet(np.ones(50), 3)
+    n = np.round(1000 * (0.7 * p[0] + 0.3 * p[2]))
+    weights, likelihood = language.mixture(n, p, 200)
+    assert weights == pytest.approx([0.7, 0, 0.3], abs=0.03) and weights.sum() == pytest.approx(1)
+    assert likelihood >= max(float(n @ np.log(w @ p)) for w in random.dirichlet(np.ones(3), 200)) - 1e-6

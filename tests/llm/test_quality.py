@@ -1,0 +1,61 @@
+import numpy as np
+import pytest
+
+from hopboard.llm import quality
+from hopboard.llm.queries import op3_quality_classifier
+
+
+def test_held_out_accuracy(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = op3_quality_classifier(spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
+    right = [row["predicted"] == row["quality"] for row in rows]
+    good = [row["predicted"] for row in rows if row["quality"] == 1]
+    assert len(rows) > 50 and np.mean(right) >= 0.95 and np.mean(good) >= 0.98
+
+
+@pytest.fixture
+def sample():
+    random = np.random.default_rng(3)
+    good, bad = random.normal(1.5, 1, (4000, 5)), random.normal(-1.5, 1, (1000, 5))
+    mixed = np.concatenate([good[2000:], bad[:500]])
+    return good[:2000], mixed, good[:500], bad[500:]
+
+
+@pytest.mark.parametrize("prior", [0.8, None])
+def test_negatives_are_told_apart_without_negative_labels(sample, prior):
+    positive, unlabelled, good, bad = sample
+    model = quality.fit(positive, unlabelled, prior)
+    assert (model.scores(good) >= 0.5).mean() > 0.97 and (model.scores(bad) < 0.5).mean() > 0.9
+
+
+def test_prior_from_unlabelled_text(sample):
+    positive, unlabelled, _, _ = sample
+    rows = [np.c_[x, np.ones(len(x))] for x in (positive, unlabelled)]
+    assert quality._prior_from_unlabelled(*rows) == pytest.approx(0.8, abs=0.1)
+
+
+ODD = [None, "", " ", "\n\n", "ä", "x" * 200_000, "WORD!! " * 50, "fine words in a line"]
+
+
+@pytest.mark.parametrize("labels", [[], [(0, 1)], [(0, 1), (0, 0), (1, 0), (None, 1), (2, None), (99, 1)]])
+def test_odd_texts_and_few_labels(spark, docs, labels):
+    frame = docs(ODD + ODD[-2:])
+    table = spark.createDataFrame([(*row, "x") for row in labels], "doc_id long, quality int, text string")
+    model = quality.train(frame, table)
+    rows = quality.score(frame, model, frame.columns).orderBy("doc_id").collect()
+    assert [row["text"] for row in rows] == ODD + ODD[-2:]
+    assert all(0 <= row["score"] <= 1 for row in rows)
+    assert rows[6]["score"] == rows[8]["score"] and rows[0]["n_lines"] == -1
+    assert quality.score(frame.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_labels_outside_the_training_part_do_not_count(spark, docs):
+    frame = docs(["good words here"] * 8 + ["BAD!! BAD!!"] * 8)
+    held_out = [row["doc_id"] for row in frame.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) = 2").collect()]
+    table = lambda ids: spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    assert held_out
+    assert not quality.train(frame, table(held_out)).weights.any()
+    others = [i for i in range(16) if i not in held_out]
+    weights = quality.train(frame, table(others)).weights
+    assert np.array_equal(weights, quality.train(frame, table(range(16))).weights) and weights.any()
