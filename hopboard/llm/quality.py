@@ -136,13 +136,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps
 
 
 def _prior_from_unlabelled(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in unlabelled text: chance of being labelled there against that of positives."""
+    """Share of positives in unlabelled text: how dense it is, against the positives, where these usually lie."""
     rows, labels = np.concatenate([p, u]), np.r_[np.ones(len(p)), np.zeros(len(u))]
     w = np.zeros(rows.shape[1])
     for _ in range(200):
         w -= 0.5 * rows.T @ (sigmoid(rows @ w) - labels) / len(rows)
-    odds = lambda x: (1 - sigmoid(x @ w).clip(1e-6, 1 - 1e-6)) / sigmoid(x @ w).clip(1e-6, 1 - 1e-6)
-    return float(np.clip(len(p) / len(u) * np.median(odds(p)) * np.mean(1 / odds(u)), 0.05, 0.95))
+    chance = sigmoid(p @ w).clip(1e-6, 1 - 1e-6)
+    return float(np.clip(np.median((1 - chance) / chance) * len(p) / len(u), 0.05, 0.95))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

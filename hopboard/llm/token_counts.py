@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, vocabulary: bytes, rule: str = "largest", sect
     rows = docs.select("doc_id", "text")
     if sections is not None:
         listed = sections.groupBy(F.col("doc_id").alias("of")).agg(
-            F.collect_list(F.struct(F.col("name").cast("string").alias("name"), F.col("start").cast("bigint"), F.col("stop").cast("bigint"))).alias("sections")
+            F.collect_list(F.struct(F.col("name").cast("string").alias("name"), F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))).alias("sections")
         )
         rows = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "sections")
     schema = (

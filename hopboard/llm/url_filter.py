@@ -102,15 +102,17 @@ def gram_scores(labelled: DataFrame) -> DataFrame:
 
 
 def _threshold(scored: DataFrame) -> float:
-    """Where rightly allowed and rightly blocked shares are largest together, over bins of the score."""
+    """Where rightly allowed and rightly blocked shares are largest together, midway between two bins of scores."""
     bins = scored.groupBy(F.round(F.col("score") * BINS).alias("bin")).agg(
         F.sum(F.col("allowed").cast("bigint")).alias("good"), F.sum((~F.col("allowed")).cast("bigint")).alias("bad")
     )
     above, everything = Window.partitionBy().orderBy(F.desc("bin")), Window.partitionBy()
     gain = F.sum("good").over(above) / F.sum("good").over(everything) - F.sum("bad").over(above) / F.sum("bad").over(everything)
     usable = (F.sum("good").over(everything) > 0) & (F.sum("bad").over(everything) > 0)
-    best = bins.select("bin", F.when(usable, gain).alias("gain")).where("gain is not null").orderBy(F.desc("gain"), F.abs("bin"), "bin").first()
-    return (best["bin"] - 0.5) / BINS if best else 0.0
+    below = F.coalesce(F.lead("bin").over(above), F.col("bin") - 1)
+    middles = bins.select(((F.col("bin") + below) / (2 * BINS)).alias("middle"), F.when(usable, gain).alias("gain"))
+    best = middles.where("gain is not null").orderBy(F.desc("gain"), F.abs("middle"), "middle").first()
+    return best["middle"] if best else 0.0
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
