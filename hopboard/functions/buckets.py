@@ -15,7 +15,8 @@ def bucket_of_millis(millis: Column, params: BoardParams) -> Column:
 
 
 def bucket_of_timestamp(instant: Column, params: BoardParams) -> Column:
-    nanos = F.unix_micros(instant) * F.lit(1000).cast("bigint")
+    """Bucket id of an instant; NULL where nanoseconds overflow a long, so that nothing is in its window."""
+    nanos = F.try_multiply(F.unix_micros(instant), F.lit(1000).cast("bigint"))
     return _whole_quotient(nanos, params.width_nanos)
 
 

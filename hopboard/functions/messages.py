@@ -24,6 +24,15 @@ _LAYOUT = (
 _PLAIN_LAYOUT = _LAYOUT.replace("TEXT", r'[^"\\\x00-\x1F]*+')
 _ESCAPED_LAYOUT = _LAYOUT.replace("TEXT", r'(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+')
 
+# Escapes of surrogates without their other half stand for U+FFFD. Pairs of backslashes are set aside, so
+# that every backslash left starts an escape; the sign that holds their place is refused inside of texts.
+_WHOLE_TEXT = r"""
+CASE WHEN contains(_raw, r'\u') AND _raw RLIKE r'\\u[dD][89a-fA-F]' AND NOT contains(_raw, '\u0002') THEN
+  replace(regexp_replace(regexp_replace(replace(_raw, r'\\', '\u0002'),
+    r'(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}', r'\\ufffd'),
+    r'\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})', r'\\ufffd'), '\u0002', r'\\')
+ELSE _raw END"""
+
 # A compact text becomes its four values, each after a control character, which no value has; any
 # other text still starts with its brace.
 _CUT = rf"""
@@ -74,11 +83,14 @@ get(transform(
 
 def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """Add the four event fields and `well_formed`; the fields are NULL where the text is refused."""
+    # Unknown fields may hold the same key twice inside; the result must not depend on the session.
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     columns = [f"`{name}`" for name in messages.columns]
     # The pieces get a projection of their own, as they are used many times. So does the parser: it
     # would keep the cheap steps before it out of generated code.
     return (
-        messages.selectExpr(*columns, f"CAST(`{value}` AS STRING) AS _text")
+        messages.selectExpr(*columns, f"CAST(`{value}` AS STRING) AS _raw")
+        .selectExpr(*columns, f"{_WHOLE_TEXT} AS _text")
         .selectExpr(*columns, "_text", f"{_CUT} AS _cut")
         .selectExpr(*columns, "_text", f"{_COMPACT_EVENT} AS _compact")
         .selectExpr(*columns, f"coalesce(_compact, {_ESCAPED_EVENT}, {_PARSED_EVENT}) AS _event")

@@ -32,6 +32,13 @@ def live_rows(rows: DataFrame, oldest: int, current: int) -> DataFrame:
     return rows.where(F.col("bucket_id").between(oldest, current))
 
 
+def merged_rows(rows: DataFrame) -> DataFrame:
+    """Bucket rows of either kind with those of equal bucket and query (and source) merged into one."""
+    if "sketch" in rows.columns:
+        return rows.groupBy("bucket_id", "query").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return bucket_sources(rows)
+
+
 def bucket_counts(rows: DataFrame) -> DataFrame:
     """Exact number of sources for each bucket and query."""
     return rows.groupBy("bucket_id", "query").agg(F.count_distinct("source").alias("count"))

@@ -22,10 +22,27 @@ def sorted_words(words: DataFrame) -> DataFrame:
     return words.select("word").orderBy("word")
 
 
+def merged_words(table: DataFrame, words: DataFrame, created_at: Column) -> DataFrame:
+    """Table and normalised new words with their status, from one pass over both.
+
+    Every word of the table is `stored`, a new word that it lacks is `added` with the given time, and
+    one that it has gives a row `conflict` more.
+    """
+    stored = table.select("word", "created_at", F.lit(True).alias("stored"))
+    both = stored.join(active_words(words).withColumn("given", F.lit(True)), "word", "full_outer")
+    statuses = (
+        F.when(F.col("stored") & F.col("given"), F.array(F.lit("stored"), F.lit("conflict")))
+        .when(F.col("stored"), F.array(F.lit("stored")))
+        .otherwise(F.array(F.lit("added")))
+    )
+    time = F.when(F.col("stored"), F.col("created_at")).otherwise(created_at)
+    return both.select("word", time.alias("created_at"), F.explode(statuses).alias("status"))
+
+
 def insert_words(table: DataFrame, words: DataFrame, created_at: Column) -> DataFrame:
     """Table with the normalised new words added; words it has already are left as they are."""
-    fresh = active_words(words).join(table, "word", "left_anti")
-    return table.select("word", "created_at").unionByName(fresh.select("word", created_at.alias("created_at")))
+    merged = merged_words(table, words, created_at)
+    return merged.where(F.col("status") != "conflict").select("word", "created_at")
 
 
 def conflicting_words(table: DataFrame, words: DataFrame) -> DataFrame:

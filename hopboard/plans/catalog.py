@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hopboard.functions.messages import decode_events, encode_event
 from hopboard.functions.text import normalize_query
 from hopboard.operators import counting, hopping, ingest, ranking, stoplist, upkeep
+from hopboard.operators.pruning import before_window
 from hopboard.params import parse_top_limit
 from hopboard.plans.sample import (
     AS_OF,
@@ -26,21 +27,22 @@ from hopboard.plans.sample import (
     stored_stopwords,
     window_rows,
 )
-from hopboard.sources.files import spread_if_few
 from hopboard.sources.generator import FLOOD_QUERY, FLOOD_SOURCE
 from hopboard.sources.storage import shared_folder
 from hopboard.streaming.bucket_store import BucketStore
 from hopboard.streaming.jobs import rebuild, start_ingest
 from hopboard.streaming.snapshot_store import SnapshotStore
+from hopboard.streaming.stoplist_store import StoplistStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ARRIVAL_LAG_HOURS = [0, 1, 12, 240, -12]
+# The last one lies beyond the year 2262, where nanoseconds no longer fit a long.
+ARRIVAL_LAG_HOURS = [0, 1, 12, 240, -12, 2_500_000]
 SKETCH_PARAMS = replace(PARAMS, counter="hll")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_if_few(read_table(spark, sf_dir, "events"))
+    return read_table(spark, sf_dir, "events")
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +113,16 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.bucket_counts(_history(spark, sf_dir))
 
 
+def _beside_exact(exact: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact counts, and whether the estimates are within three percent of them."""
+    close = F.abs(F.col("estimate") - F.col("count")) <= F.greatest(F.lit(0.5), F.col("count") * 0.03)
+    both = exact.join(estimates.withColumnRenamed("count", "estimate"), keys, "full_outer")
+    return both.select(*keys, "count", F.coalesce(close, F.lit(False)).alias("within_tolerance"))
+
+
 def bucket_counts_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.bucket_estimates(counting.bucket_sketches(_history(spark, sf_dir), SKETCH_PARAMS))
+    estimates = counting.bucket_estimates(counting.bucket_sketches(_history(spark, sf_dir), SKETCH_PARAMS))
+    return _beside_exact(bucket_counts(spark, sf_dir), estimates, ["bucket_id", "query"])
 
 
 def top_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,22 +134,23 @@ def top_from_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sketches = counting.bucket_sketches(window_rows(spark, sf_dir), SKETCH_PARAMS)
-    return ranking.top_as_of(sketches, SKETCH_PARAMS, AS_OF)
+    """Estimates of the whole board from merged bucket sketches, beside the exact counts."""
+    rows = window_rows(spark, sf_dir)
+    everything = replace(SKETCH_PARAMS, top_k=2**31 - 1)
+    board = ranking.top_as_of(counting.bucket_sketches(rows, SKETCH_PARAMS), everything, AS_OF)
+    return _beside_exact(counting.query_counts(rows), board.drop("rank"), ["query"])
 
 
 def top_approx_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.rank_counts(counting.query_estimates(window_rows(spark, sf_dir), SKETCH_PARAMS), PARAMS)
+    rows = window_rows(spark, sf_dir)
+    return _beside_exact(counting.query_counts(rows), counting.query_estimates(rows, SKETCH_PARAMS), ["query"])
 
 
 def sketch_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _history(spark, sf_dir)
     exact = counting.query_counts(rows)
     merged = counting.query_counts(counting.bucket_sketches(rows, SKETCH_PARAMS))
-    close = F.abs(F.col("estimate") - F.col("count")) <= F.greatest(F.lit(0.5), F.col("count") * 0.03)
-    return exact.join(merged.withColumnRenamed("count", "estimate"), "query").select(
-        "query", "count", close.alias("within_tolerance")
-    )
+    return _beside_exact(exact, merged, ["query"])
 
 
 def top_stoplist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +172,9 @@ def hopping_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expired_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upkeep.expired_buckets(_history(spark, sf_dir), PARAMS, AS_OF)
+    old = before_window(_events(spark, sf_dir), PARAMS, AS_OF)
+    rows = ingest.valid_events(search_events(old).where("well_formed"), PARAMS)
+    return upkeep.expired_buckets(rows, PARAMS, AS_OF)
 
 
 def stoplist_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,13 +191,9 @@ def _new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stoplist_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = stored_stopwords(_events(spark, sf_dir))
-    words = _new_words(spark, sf_dir)
-    conflicts = stoplist.conflicting_words(table, words).select("word", F.lit("conflict").alias("status"))
     created_at = F.expr("TIMESTAMP_NTZ'2024-02-01 00:00:00'")
-    grown = stoplist.insert_words(table, words, created_at)
-    status = F.when(F.col("created_at") == created_at, "added").otherwise("stored")
-    return grown.select("word", status.alias("status")).unionByName(conflicts)
+    merged = stoplist.merged_words(stored_stopwords(_events(spark, sf_dir)), _new_words(spark, sf_dir), created_at)
+    return merged.select("word", "status")
 
 
 def stoplist_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +214,18 @@ def stoplist_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.select("word", millis_of(F.col("created_at")).alias("created_ms"))
 
 
+def stoplist_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list after a change log, by way of the store: written, changed and read back.
+
+    The folder stays, since the result reads it; the shared folder is cleared by whoever owns it.
+    """
+    store = StoplistStore(spark, f"{shared_folder(spark)}/stoplist-{uuid4()}")
+    events = _events(spark, sf_dir)
+    store.replace(stored_stopwords(events))
+    store.apply(stopword_changes(events))
+    return store.list()
+
+
 def pipeline_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.gauges(top_exact(spark, sf_dir), stoplist_clean(spark, sf_dir))
 
@@ -234,7 +255,10 @@ def event_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The board by way of the running jobs: stream in, store buckets, rebuild, publish, read."""
+    """The board by way of the running jobs: stream in, store buckets, compact, rebuild, publish, read.
+
+    The folder stays, since the result reads the board in it.
+    """
     folder = f"{shared_folder(spark)}/stream_top-{uuid4()}"
     table = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     buckets = BucketStore(f"{folder}/buckets", PARAMS)
@@ -243,6 +267,7 @@ def stream_top(spark: SparkSession, sf_dir: str) -> DataFrame:
         messages(table).select("value"), PARAMS, buckets.write, f"{folder}/checkpoint", AS_OF, {"availableNow": True}
     )
     query.awaitTermination()
+    buckets.compact(spark, *PARAMS.live_range(AS_OF), grace_seconds=0)
     rebuild(spark, PARAMS, buckets, boards, AS_OF)
     return boards.top(spark, "20", AS_OF).select("rank", "query", "count")
 
@@ -273,6 +298,7 @@ QUERIES: dict[str, Query] = {
     "stoplist_delete": stoplist_delete,
     "stoplist_apply": stoplist_apply,
     "stoplist_final": stoplist_final,
+    "stoplist_stored": stoplist_stored,
     "pipeline_gauges": pipeline_gauges,
     "bot_flood": bot_flood,
     "replay_idempotent": replay_idempotent,

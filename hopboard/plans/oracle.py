@@ -90,15 +90,17 @@ statuses AS (
 
 _ODD = f"""{_SEARCH},
 odd AS (
-  SELECT id, id % 16 AS oddity, kind, 'user-' || CAST(id AS VARCHAR) AS user_name, ts_ms FROM search
+  SELECT id, id % 20 AS oddity, kind, 'user-' || CAST(id AS VARCHAR) AS user_name, ts_ms FROM search
 ),
 decoded AS (
   SELECT id,
     oddity NOT IN (1, 5, 6, 7, 8, 9, 10, 12) AS well_formed,
-    CASE WHEN oddity = 2 THEN 'later' WHEN oddity IN (0, 3, 4, 11, 13, 15) THEN kind END AS query,
+    CASE WHEN oddity = 2 THEN 'later' WHEN oddity IN (0, 3, 4, 11, 13, 15, 16, 17, 18, 19) THEN kind END AS query,
     CASE WHEN oddity = 13 THEN 'user' || chr(9) || CAST(id AS VARCHAR)
-         WHEN oddity IN (0, 2, 3, 4, 11, 15) THEN user_name END AS source,
-    CASE WHEN oddity IN (0, 2, 3, 4, 11, 13, 15) THEN ts_ms END AS ts_ms,
+         WHEN oddity = 18 THEN chr(65533) || 'x' || chr(65533) || chr(128512) || '-' || CAST(id AS VARCHAR)
+         WHEN oddity = 19 THEN chr(92) || 'ud800-' || CAST(id AS VARCHAR)
+         WHEN oddity IN (0, 2, 3, 4, 11, 15, 16, 17) THEN user_name END AS source,
+    CASE WHEN oddity IN (0, 2, 3, 4, 11, 13, 15, 16, 17, 18, 19) THEN ts_ms END AS ts_ms,
     CAST(NULL AS VARCHAR) AS event_id
   FROM odd
 )"""
@@ -139,10 +141,10 @@ SELECT id,
 FROM classified WHERE outcome <> 'consumed'""",
     "late_future_outcomes": f"""WITH {_CLASSIFIED},
 arriving AS (
-  SELECT *, CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 12 WHEN 3 THEN 240 ELSE -12 END AS lag_hours
+  SELECT *, CASE id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 12 WHEN 3 THEN 240 WHEN 4 THEN -12 ELSE 2500000 END AS lag_hours
   FROM classified
 ),
-clocked AS (SELECT *, (epoch_us(ts) // 1000 + lag_hours * 3600000) // {_WIDTH_MS} AS current_id FROM arriving)
+clocked AS (SELECT *, (epoch_us(ts) // 1000 + CAST(lag_hours AS BIGINT) * 3600000) // {_WIDTH_MS} AS current_id FROM arriving)
 SELECT CAST(lag_hours AS INTEGER) AS lag_hours,
   CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN norm IS NULL THEN 'norm_dropped'
        WHEN bucket_id BETWEEN current_id - 27 AND current_id THEN 'consumed' ELSE 'out_of_window' END AS outcome,
@@ -150,6 +152,12 @@ SELECT CAST(lag_hours AS INTEGER) AS lag_hours,
 FROM clocked GROUP BY ALL""",
     "bucket_counts": f"""WITH {_CLASSIFIED}
 SELECT bucket_id, query, count(DISTINCT source) AS count FROM history GROUP BY bucket_id, query""",
+    "bucket_counts_approx": f"""WITH {_CLASSIFIED}
+SELECT bucket_id, query, count(DISTINCT source) AS count, TRUE AS within_tolerance FROM history GROUP BY bucket_id, query""",
+    "top_approx": f"""WITH {_CLASSIFIED}
+SELECT query, count(DISTINCT source) AS count, TRUE AS within_tolerance FROM consumed GROUP BY query""",
+    "top_approx_direct": f"""WITH {_CLASSIFIED}
+SELECT query, count(DISTINCT source) AS count, TRUE AS within_tolerance FROM consumed GROUP BY query""",
     "top_exact": f"WITH {_TOP} SELECT * FROM top",
     "top_from_messages": f"WITH {_TOP} SELECT * FROM top",
     "sketch_accuracy": f"""WITH {_CLASSIFIED}
@@ -195,6 +203,10 @@ last AS (
   FROM statuses WHERE status <> 'invalid' GROUP BY norm_word
 )
 SELECT coalesce(s.word, l.word) AS word, epoch_us(coalesce(l.added_at, s.created_at)) // 1000 AS created_ms
+FROM stored s FULL JOIN last l ON s.word = l.word WHERE coalesce(l.op, 'add') = 'add'""",
+    "stoplist_stored": f"""WITH {_STATUSES},
+last AS (SELECT norm_word AS word, arg_max(op, seq) AS op FROM statuses WHERE status <> 'invalid' GROUP BY norm_word)
+SELECT coalesce(s.word, l.word) AS word
 FROM stored s FULL JOIN last l ON s.word = l.word WHERE coalesce(l.op, 'add') = 'add'""",
     "pipeline_gauges": f"""WITH {_TOP},
 active AS (SELECT DISTINCT norm AS word FROM (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hopboard.functions.messages import encode_event
 from hopboard.operators.ingest import accepted, classify
+from hopboard.operators.pruning import in_window
 from hopboard.params import BoardParams
 
 AS_OF = datetime(2024, 1, 20, 12, 34, 56, tzinfo=timezone.utc)
@@ -65,9 +66,9 @@ def messages(table: DataFrame) -> DataFrame:
 
 
 def odd_messages(table: DataFrame) -> DataFrame:
-    """JSON texts that test the strictness of decoding, one kind of oddity for each remainder by 16."""
+    """JSON texts that test the strictness of decoding, one kind of oddity for each remainder by 20."""
     event = search_events(table)
-    kind = F.col("id") % 16
+    kind = F.col("id") % 20
     text = F.concat
     query = F.concat(F.lit('"query":"'), F.col("kind"), F.lit('"'))
     source = F.concat(F.lit(',"source":"user-'), F.col("id").cast("string"), F.lit('"'))
@@ -93,6 +94,10 @@ def odd_messages(table: DataFrame) -> DataFrame:
         .when(kind == 12, text(F.lit('{"query":7'), source, time, F.lit("}")))
         .when(kind == 13, F.replace(plain, F.lit("user-"), F.lit("\\u0075ser\\t")))
         .when(kind == 14, F.lit("null"))
+        .when(kind == 16, with_more(',"extra":{"a":1,"a":2}'))
+        .when(kind == 17, with_more(',"extra":[{"a":1,"a":{"b":2,"b":3}}]'))
+        .when(kind == 18, F.replace(plain, F.lit("user-"), F.lit("\\ud800x\\udc00\\ud83d\\ude00-")))
+        .when(kind == 19, F.replace(plain, F.lit("user-"), F.lit("\\\\ud800-")))
         .otherwise(F.replace(plain, F.lit(","), F.lit(" ,\n")))
     )
     return event.select("id", value.alias("value"))
@@ -102,9 +107,7 @@ def window_rows(
     spark: SparkSession, sf_dir: str, params: BoardParams = PARAMS, as_of: datetime = AS_OF
 ) -> DataFrame:
     """Accepted rows of one window. The scan is limited to the window's time range."""
-    first, last = params.live_millis(as_of)
-    in_range = F.col("ts").between(_ntz_literal(first, 0), _ntz_literal(last, 999))
-    events = search_events(read_table(spark, sf_dir, "events").where(in_range))
+    events = search_events(in_window(read_table(spark, sf_dir, "events"), params, as_of))
     return accepted(classify(events, params, as_of))
 
 
@@ -123,8 +126,3 @@ def stopword_changes(events: DataFrame) -> DataFrame:
     return search_events(events).select(
         F.col("id").alias("seq"), op.alias("op"), F.col("query").alias("word"), F.col("ts").alias("changed_at")
     )
-
-
-def _ntz_literal(millis: int, extra_micros: int) -> Column:
-    instant = datetime(1970, 1, 1) + timedelta(milliseconds=millis, microseconds=extra_micros)
-    return F.expr(f"TIMESTAMP_NTZ'{instant.isoformat(sep=' ')}'")

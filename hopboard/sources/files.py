@@ -24,13 +24,3 @@ def stream_messages(
 
 def write_events(events: DataFrame, path: str, file_format: str = "text", mode: str = "append") -> None:
     to_messages(events).write.format(file_format).mode(mode).save(path)
-
-
-def spread_if_few(rows: DataFrame) -> DataFrame:
-    """Deal rows out to all cores where the input has fewer splits than that, as one small file has.
-
-    Decoding is the costly step and runs where the input is read. Large inputs have many splits and
-    are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,17 @@ def delete_tree(spark: SparkSession, location: str) -> None:
     file_system.delete(path, True)
 
 
+def create_marker(spark: SparkSession, location: str) -> None:
+    """An empty file; fails where there is one."""
+    path, file_system = _resolve(spark, location)
+    file_system.create(path, False).close()
+
+
+def age_seconds(spark: SparkSession, location: str) -> float:
+    path, file_system = _resolve(spark, location)
+    return time.time() - file_system.getFileStatus(path).getModificationTime() / 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

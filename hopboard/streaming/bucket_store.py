@@ -3,17 +3,29 @@
 A batch that is run again overwrites its own partitions only, so the state takes it once. Readers
 name the live buckets in the path and list nothing else. Counts are unions, hence rows of one
 query spread over several batches or written twice never add up to more.
+
+Before a write, rows are brought together by bucket; Spark splits large buckets and merges small
+ones, so that a batch leaves few files. Compaction folds the batches of a bucket into one. It writes
+first and deletes the folded batches only after a grace period, so that readers who have listed them
+can finish; until then both are there, which changes no count. A compaction that fails leaves at most
+a copy of rows that are there anyway, and the next one folds again. A folded batch that is delivered
+again after its deletion writes its rows once more, which changes no count either.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopboard.operators.counting import bucket_rows
+from hopboard.operators.counting import bucket_rows, merged_rows
 from hopboard.params import BoardParams
-from hopboard.sources.storage import delete_tree, matching_paths
+from hopboard.sources.storage import age_seconds, create_marker, delete_tree, matching_paths
+
+# Fixed value: file that marks a batch as folded into another. Spark does not read names with this first letter.
+_FOLDED = "_FOLDED"
 
 
 class BucketStore:
@@ -23,8 +35,45 @@ class BucketStore:
 
     def write(self, accepted: DataFrame, batch: str) -> None:
         """Aggregate accepted events per bucket and store them under the name of the batch."""
+        self._store(bucket_rows(accepted, self.params), batch)
+
+    def read(self, spark: SparkSession, oldest: int, current: int) -> DataFrame:
+        """Rows of the buckets from oldest to current; no rows where none of them has been written."""
+        return self._rows(spark, [f"{self.path}/bucket_id={{{','.join(map(str, range(oldest, current + 1)))}}}"])
+
+    def compact(self, spark: SparkSession, oldest: int, newest: int, grace_seconds: float = 600.0) -> int:
+        """Fold the batches of each bucket from oldest to newest into one; returns the number of batches folded.
+
+        Meant for buckets that hardly change any more. Batches that come later are folded by the next
+        call, which also deletes those folded longer ago than the grace period.
+        """
+        marked = set()
+        for marker in matching_paths(spark, f"{self.path}/bucket_id=*/batch=*/{_FOLDED}"):
+            folder = marker.rsplit("/", 1)[0]
+            marked.add(folder)
+            if oldest <= _bucket_of(folder) <= newest and age_seconds(spark, marker) >= grace_seconds:
+                delete_tree(spark, folder)
+        batches: dict[int, list[str]] = {}
+        for folder in matching_paths(spark, f"{self.path}/bucket_id=*/batch=*"):
+            if folder not in marked and oldest <= _bucket_of(folder) <= newest:
+                batches.setdefault(_bucket_of(folder), []).append(folder)
+        folding = [folder for folders in batches.values() if len(folders) > 1 for folder in folders]
+        if folding:
+            self._store(merged_rows(self._rows(spark, folding)), f"compacted-{uuid4().hex}")
+            for folder in folding:
+                create_marker(spark, f"{folder}/{_FOLDED}")
+        return len(folding)
+
+    def drop_before(self, spark: SparkSession, bucket_id: int) -> int:
+        """Delete the buckets before this one and return how many there were."""
+        expired = [path for path in matching_paths(spark, f"{self.path}/bucket_id=*") if _bucket_of(path) < bucket_id]
+        for path in expired:
+            delete_tree(spark, path)
+        return len(expired)
+
+    def _store(self, rows: DataFrame, batch: str) -> None:
         (
-            bucket_rows(accepted, self.params)
+            rows.hint("rebalance", "bucket_id")
             .withColumn("batch", F.lit(batch))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -32,29 +81,17 @@ class BucketStore:
             .parquet(self.path)
         )
 
-    def read(self, spark: SparkSession, oldest: int, current: int) -> DataFrame:
-        """Rows of the buckets from oldest to current; no rows where none of them has been written."""
+    def _rows(self, spark: SparkSession, paths: list[str]) -> DataFrame:
         state = "source STRING" if self.params.counter == "exact" else "sketch BINARY"
         schema = f"query STRING, {state}, bucket_id BIGINT, batch STRING"
-        buckets = ",".join(str(bucket) for bucket in range(oldest, current + 1))
         try:
-            stored = (
-                spark.read.schema(schema).option("basePath", self.path)
-                .parquet(f"{self.path}/bucket_id={{{buckets}}}")
-            )
+            stored = spark.read.schema(schema).option("basePath", self.path).parquet(*paths)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             stored = spark.createDataFrame([], schema)
         return stored.drop("batch")
 
-    def drop_before(self, spark: SparkSession, bucket_id: int) -> int:
-        """Delete the buckets before this one and return how many there were."""
-        expired = [
-            path
-            for path in matching_paths(spark, f"{self.path}/bucket_id=*")
-            if int(path.rsplit("=", 1)[1]) < bucket_id
-        ]
-        for path in expired:
-            delete_tree(spark, path)
-        return len(expired)
+
+def _bucket_of(path: str) -> int:
+    return int(path.split("bucket_id=", 1)[1].split("/", 1)[0])

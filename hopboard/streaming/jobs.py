@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import threading
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -24,6 +25,7 @@ RESTART_DELAY_SECONDS = 3.0
 
 Sink = Callable[[DataFrame, str], None]
 StoplistProvider = Callable[[], DataFrame | None]
+Gauges = Callable[[dict[str, float]], None]
 
 
 def start_ingest(
@@ -83,18 +85,35 @@ def start_rebuilding(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     keep_boards: int = 100,
     spare_buckets: int | None = None,
+    compact_every: int = 60,
+    on_gauges: Gauges | None = None,
 ) -> StreamingQuery:
     """Rebuild the board again and again, whether or not events come in.
 
     Buckets are deleted once they are as far behind the window as `spare_buckets` says, which
     defaults to the length of the window, so that none is deleted that a batch still writes to.
+    Boards are deleted but for the newest `keep_boards`; a reader of an older one would fail. Every
+    `compact_every` ticks the batches of all closed buckets of the window are folded (0: never).
+    `on_gauges` is called after every tick with the size of the board and of the stop-list and the
+    seconds that the rebuild took.
     """
     spare = params.bucket_count if spare_buckets is None else spare_buckets
 
-    def on_tick(_: DataFrame, __: int) -> None:
-        as_of = clock()
+    def on_tick(_: DataFrame, tick: int) -> None:
+        as_of, started = clock(), time.monotonic()
+        oldest, current = params.live_range(as_of)
         rebuild(spark, params, buckets, boards, as_of, stoplist, ban)
-        buckets.drop_before(spark, params.live_range(as_of)[0] - spare)
+        seconds = time.monotonic() - started
+        if on_gauges:
+            words = stoplist() if stoplist else None
+            on_gauges({
+                "snapshot_size": boards.latest(spark, as_of).select(F.size("items")).first()[0],
+                "stoplist_words": 0 if words is None else words.count(),
+                "rebuild_seconds": seconds,
+            })
+        buckets.drop_before(spark, oldest - spare)
+        if compact_every and tick % compact_every == compact_every - 1:
+            buckets.compact(spark, oldest, current - 1)
         boards.keep_newest(spark, keep_boards)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()

@@ -40,10 +40,14 @@ class SnapshotStore:
         return as_document(self.latest(spark, now), parse_top_limit(limit))
 
     def keep_newest(self, spark: SparkSession, count: int) -> int:
-        """Delete all but the newest complete boards and return how many there were."""
+        """Delete all but the newest complete boards, and unfinished ones older than the first kept; returns how many."""
         if count < 1:
             raise ValueError("at least one board must be kept")
-        old = matching_paths(spark, f"{self.path}/generated_micros=*/_SUCCESS")[:-count]
+        done = [path.rsplit("/", 1)[0] for path in matching_paths(spark, f"{self.path}/generated_micros=*/_SUCCESS")]
+        if not done:
+            return 0
+        first_kept = done[-count:][0]
+        old = [path for path in matching_paths(spark, f"{self.path}/generated_micros=*") if path < first_kept]
         for path in old:
-            delete_tree(spark, path.rsplit("/", 1)[0])
+            delete_tree(spark, path)
         return len(old)

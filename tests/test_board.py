@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopboard.operators.counting import bucket_counts, bucket_rows, bucket_sketches, query_counts, query_estimates
-from hopboard.operators.hopping import top_per_tick
+from hopboard.operators.hopping import contenders, each_tick, levels_of, top_per_tick
 from hopboard.operators.ranking import (
     as_document,
     as_snapshot,
@@ -188,3 +188,30 @@ def test_expired_buckets_and_gauges(spark):
     assert {row["gauge"]: row["value"] for row in gauges(ranked, words).collect()} == {
         "snapshot_size": 1, "stoplist_words": 2,
     }
+
+
+@pytest.mark.parametrize("top_k, bucket_count", [(3, 5), (1, 9), (4, 16), (3, 1)])
+def test_replay_with_many_ties_and_wide_windows(spark, top_k, bucket_count):
+    random.seed(top_k * bucket_count)
+    rows = [(random.randrange(60), f"q{random.randrange(12)}", f"u{random.randrange(3)}") for _ in range(90)]
+    params = replace(PARAMS, bucket_count=bucket_count, top_k=top_k)
+    got = top_per_tick(rows_of(spark, *rows), params).collect()
+    assert sorted(tuple(row) for row in got) == brute_force_ticks(rows, bucket_count, top_k)
+
+
+def test_replay_drops_rare_queries_before_copying_them(spark):
+    params = replace(PARAMS, bucket_count=30, top_k=5)
+    rare = spark.range(20_000).selectExpr("id % 60 AS bucket_id", "concat('rare', id) AS query", "'u' AS source")
+    head = spark.range(60 * 10 * 8).selectExpr("id % 60 AS bucket_id", "concat('hot', id % 10) AS query", "concat('u', id) AS source")
+    levels = levels_of(rare.unionByName(head), params)
+    every, kept = each_tick(levels).count(), each_tick(contenders(levels, params)).count()
+    ticks = levels.agg({"until": "max"}).first()[0] + 1
+    assert every > 200_000 and kept <= 3 * ticks * params.top_k + 25 * 20_000 / 60
+
+
+def test_replay_reads_its_input_once(spark, tmp_path):
+    rows_of(spark, (1, "a", "u"), (2, "b", "u")).write.parquet(str(tmp_path / "rows"))
+    frame = top_per_tick(spark.read.parquet(str(tmp_path / "rows")), PARAMS)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

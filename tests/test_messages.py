@@ -128,3 +128,22 @@ def test_encoding_leaves_out_an_empty_event_id(spark):
         '{"query":"c","source":"s","ts_ms":3}',
     ]
     assert decode_events(rows.select(encode_event().alias("value"))).where("well_formed").count() == 3
+
+
+@pytest.mark.parametrize("text, query", [
+    (r"\ud800x", "�x"), (r"x\udc00", "x�"), (r"\ud800𐀀", "�\U00010000"), (r"\udc00\ud800", "��"),
+    (r"\\ud800", r"\ud800"), (r"\\\ud800", "\\�"), (r"😀", "\U0001F600"), (r"\ud800A", "�A"), (r"\ud800\\udc00", "�\\udc00"),
+])
+def test_surrogates(spark, text, query):
+    value = '{"query":"%s","source":"s","ts_ms":5}' % text
+    spaced = '{ "query":"%s","source":"s","ts_ms":5,"more":1}' % text
+    rows = decode_events(spark.createDataFrame([(value,), (spaced,)], "value STRING")).collect()
+    assert [row["query"] for row in rows] == [query, query]
+
+
+def test_result_does_not_depend_on_session_settings(spark):
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    value = '{"query":"q","source":"s","ts_ms":1704067200000,"extra":{"a":1,"a":[{"b":1,"b":2}]}}'
+    row = decode_events(plain.createDataFrame([(value,)], "value STRING")).first()
+    assert row["well_formed"] and row["query"] == "q"

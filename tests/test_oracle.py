@@ -1,12 +1,15 @@
 """Every query against the SQL of the same name, run by DuckDB on the same files."""
 
 import os
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from hopboard.plans.catalog import QUERIES, SKETCH_PARAMS
+from hopboard.plans.oracle import ORACLE_SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -23,10 +26,10 @@ def sort_key(row):
     return tuple((value is not None, str(value)) for value in row)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
     result = queries()[name](spark, SF_DIR)
-    expected = duck.execute(oracle_sql()[name])
+    expected = duck.execute(ORACLE_SQL[name])
     columns = [column[0] for column in expected.description]
     assert sorted(result.columns) == sorted(columns)
     got = sorted((tuple(row) for row in result.select(*columns).collect()), key=sort_key)
@@ -35,21 +38,15 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
-def test_every_query_without_sql_is_approximate():
-    assert set(queries()) - set(oracle_sql()) == {"bucket_counts_approx", "top_approx", "top_approx_direct"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", ["top_approx", "top_approx_direct"])
-def test_approximate_board_equals_exact_one_at_this_size(spark, name):
-    exact = queries()["top_exact"](spark, SF_DIR).collect()
-    assert queries()[name](spark, SF_DIR).collect() == exact
-
-
-def test_approximate_bucket_counts_are_close(spark):
-    exact = {tuple(row[:2]): row[2] for row in queries()["bucket_counts"](spark, SF_DIR).collect()}
-    close = {tuple(row[:2]): row[2] for row in queries()["bucket_counts_approx"](spark, SF_DIR).collect()}
-    assert exact.keys() == close.keys()
-    assert all(abs(close[key] - count) <= max(0.5, 0.03 * count) for key, count in exact.items())
+@pytest.mark.parametrize("name", ["sketch_accuracy", "top_approx", "top_approx_direct"])
+def test_estimates_are_compared_for_real(spark, name, monkeypatch):
+    """Sketches far too small for the data must show."""
+    monkeypatch.setattr("hopboard.plans.catalog.SKETCH_PARAMS", replace(SKETCH_PARAMS, lg_k=4))
+    assert not all(row["within_tolerance"] for row in queries()[name](spark, SF_DIR).collect())
 
 
 def test_flagship_query(spark):

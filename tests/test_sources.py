@@ -71,12 +71,5 @@ def test_query_mix_has_all_queries_and_is_repeatable(spark):
     assert {age[0] for age in ages} == {second * 1000 for second in range(300)}
 
 
-def test_small_inputs_are_spread_and_large_ones_left(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert files.spread_if_few(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
-    many = spark.range(0, 100, 1, cores + 1)
-    assert files.spread_if_few(many) is many
-
-
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
