@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from hopboard.functions.selecting import keep_where
 from hopboard.functions.text import with_normalized
+from hopboard.sources.storage import written
 
-# Changes are folded in runs of this many sequence numbers, the most a task sorts for one word.
-SEQ_PER_RUN = 1_000_000
+# Changes are folded in runs of about this many rows, the most a task sorts for one word.
+ROWS_PER_RUN = 1_000_000
 
 
 def active_words(table: DataFrame) -> DataFrame:
@@ -54,65 +55,79 @@ def delete_words(table: DataFrame, words: DataFrame) -> DataFrame:
     return table.join(active_words(words), "word", "left_anti")
 
 
-def change_statuses(table: DataFrame, changes: DataFrame, seq_per_run: int = SEQ_PER_RUN) -> DataFrame:
-    """Outcome of each change in a log (seq, op, word, changed_at), applied in order of seq.
+def normalized_changes(changes: DataFrame) -> DataFrame:
+    """Change log (seq, op, word, changed_at) with norm_word, normalised once and kept in the shared folder."""
+    given = changes.select("seq", "op", "word", "changed_at")
+    return written(with_normalized(given, F.col("word"), "norm_word"), "changes")
+
+
+def change_statuses(table: DataFrame, log: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
+    """Outcome of each change in a normalised log, applied in order of seq.
 
     `op` is add or remove. An add is `added`, or `conflict` if the word is there at that point; a
     remove is always `removed`; a word that does not normalise is `invalid`. The table is keyed by
     the text as stored, so a word stored unnormalised neither conflicts nor is removed. `echo` is
     the word as reported back: normalised for an add, as given for a remove.
 
-    Seq is unique. A word with very many changes is handled in runs of seq, so that no task sorts
-    all of them: the state at the start of a run comes from one row for each earlier run.
+    Seq is unique. The log is cut by quantiles of seq into runs of about equal numbers of rows,
+    however seq is spread, so that no task sorts all changes of a word: the state at the start of a
+    run comes from one row for each earlier run. Invalid rows are dealt out by seq.
     """
-    log = with_normalized(changes.select("seq", "op", "word", "changed_at"), F.col("word"), "norm_word")
-    run = F.call_function("div", F.col("seq"), F.lit(seq_per_run).cast("bigint"))
-    columns = ["seq", "op", "word", "norm_word", "changed_at"]
-    valid = keep_where(
-        log, F.col("norm_word").isNotNull(), *columns, (F.col("op") == "add").alias("is_add"), run.alias("run")
+    marked = log.select(
+        "*",
+        (F.col("op") == "add").alias("is_add"),
+        _run_of(log, rows_per_run).alias("run"),
+        F.coalesce("norm_word", F.concat(F.lit("\0"), F.pmod(F.xxhash64("seq"), F.lit(1024)).cast("string"))).alias("key"),
     )
-    invalid = keep_where(log, F.col("norm_word").isNull(), *columns, F.lit("invalid").alias("status"))
-
-    run_ends = valid.groupBy("norm_word", "run").agg(F.max_by("is_add", "seq").alias("is_add_last"))
-    earlier_runs = Window.partitionBy("norm_word").orderBy("run")
-    run_starts = run_ends.select("norm_word", "run", F.lag("is_add_last").over(earlier_runs).alias("at_start"))
-    stored = table.select(F.col("word").alias("norm_word"), F.lit(True).alias("stored")).distinct()
-    run_starts = run_starts.join(stored, "norm_word", "left").select(
-        "norm_word", "run", F.coalesce("at_start", "stored", F.lit(False)).alias("at_start")
+    run_ends = marked.where("norm_word IS NOT NULL").groupBy("key", "run").agg(F.max_by("is_add", "seq").alias("is_add_last"))
+    earlier_runs = Window.partitionBy("key").orderBy("run")
+    run_starts = run_ends.select("key", "run", F.lag("is_add_last").over(earlier_runs).alias("at_start"))
+    stored = table.select(F.col("word").alias("key"), F.lit(True).alias("stored")).distinct()
+    run_starts = run_starts.join(stored, "key", "left").select(
+        "key", "run", F.coalesce("at_start", "stored", F.lit(False)).alias("at_start")
     )
-
-    within_run = Window.partitionBy("norm_word", "run").orderBy("seq")
+    within_run = Window.partitionBy("key", "run").orderBy("seq")
     judged = (
-        valid.withColumn("previous", F.lag("is_add").over(within_run))
-        .join(run_starts, ["norm_word", "run"])
+        marked.withColumn("previous", F.lag("is_add").over(within_run))
+        .join(run_starts, ["key", "run"], "left")
         .withColumn("present_before", F.coalesce("previous", "at_start"))
     )
     status = (
-        F.when(~F.col("is_add"), "removed").when(F.col("present_before"), "conflict").otherwise("added")
-    )
-    return (
-        judged.select(*columns, status.alias("status"))
-        .unionByName(invalid)
-        .withColumn("echo", F.when(F.col("op") == "add", F.coalesce("norm_word", "word")).otherwise(F.col("word")))
+        F.when(F.col("norm_word").isNull(), "invalid")
+        .when(~F.col("is_add"), "removed")
+        .when(F.col("present_before"), "conflict")
+        .otherwise("added")
     )
+    echo = F.when(F.col("is_add"), F.coalesce("norm_word", "word")).otherwise(F.col("word"))
+    return judged.select("seq", "op", "word", "norm_word", "changed_at", status.alias("status"), echo.alias("echo"))
 
 
-def changed_table(table: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Table after a change log: per word the last change decides, an `added` row sets the time."""
-    last = (
-        statuses.where(F.col("status") != "invalid")
-        .groupBy(F.col("norm_word").alias("word"))
-        .agg(
-            F.max_by(F.col("op") == "add", "seq").alias("kept"),
-            F.max_by(
-                F.when(F.col("status") == "added", F.col("changed_at")),
-                F.when(F.col("status") == "added", F.col("seq")),
-            ).alias("added_at"),
-        )
-    )
-    return (
-        table.select("word", "created_at")
-        .join(last, "word", "full_outer")
-        .where(F.coalesce("kept", F.lit(True)))
-        .select("word", F.coalesce("added_at", "created_at").alias("created_at"))
+def changed_table(table: DataFrame, log: DataFrame) -> DataFrame:
+    """Table after a normalised log: a word is there if an add follows its last remove.
+
+    The first such add sets the time, but not for a stored word that was never removed.
+    """
+    valid = log.where("norm_word IS NOT NULL").select(F.col("norm_word").alias("word"), "op", "seq", "changed_at")
+    removed = valid.where("op <> 'add'").groupBy("word").agg(F.max("seq").alias("removed_seq"))
+    added = (
+        valid.where("op = 'add'")
+        .join(removed, "word", "left")
+        .where("removed_seq IS NULL OR seq > removed_seq")
+        .groupBy("word")
+        .agg(F.min_by("changed_at", "seq").alias("added_at"), F.lit(True).alias("added"))
     )
+    state = removed.join(added, "word", "full_outer")
+    stored = table.select("word", "created_at", F.lit(True).alias("stored"))
+    never_removed = F.col("stored") & F.col("removed_seq").isNull()
+    created_at = F.when(never_removed, F.col("created_at")).otherwise(F.col("added_at"))
+    kept = F.coalesce(never_removed, F.lit(False)) | F.coalesce("added", F.lit(False))
+    return stored.join(state, "word", "full_outer").where(kept).select("word", created_at.alias("created_at"))
+
+
+def _run_of(log: DataFrame, rows_per_run: int) -> Column:
+    """Number of the run that a seq falls into, by as many quantiles as there are runs."""
+    runs = -(-log.count() // rows_per_run)
+    if runs < 2:
+        return F.lit(0)
+    cuts = log.agg(F.percentile_approx("seq", [i / runs for i in range(1, runs)], 100 * runs)).first()[0]
+    return F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]), lambda cut: cut < F.col("seq")))

@@ -203,14 +203,15 @@ def stoplist_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stoplist_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    statuses = stoplist.change_statuses(stored_stopwords(events), stopword_changes(events))
+    log = stoplist.normalized_changes(stopword_changes(events))
+    statuses = stoplist.change_statuses(stored_stopwords(events), log)
     return statuses.select("seq", "op", "word", "norm_word", "status", "echo")
 
 
 def stoplist_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    table = stored_stopwords(events)
-    final = stoplist.changed_table(table, stoplist.change_statuses(table, stopword_changes(events)))
+    log = stoplist.normalized_changes(stopword_changes(events))
+    final = stoplist.changed_table(stored_stopwords(events), log)
     return final.select("word", millis_of(F.col("created_at")).alias("created_ms"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import time
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
@@ -18,6 +19,16 @@ def delete_tree(spark: SparkSession, location: str) -> None:
     file_system.delete(path, True)
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to a new place in the shared folder and read back, so that it is worked out once.
+
+    The files are inputs of what the caller makes of it and stay until the shared folder is cleared.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def create_marker(spark: SparkSession, location: str) -> None:
     """An empty file; fails where there is one."""
     path, file_system = _resolve(spark, location)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopboard.functions.text import normalize_query
-from hopboard.operators.stoplist import active_words, change_statuses, changed_table, delete_words, merged_words, sorted_words
+from hopboard.operators.stoplist import active_words, change_statuses, changed_table, delete_words, merged_words, normalized_changes, sorted_words
 from hopboard.sources.stopwords import STOPWORD_SCHEMA
 from hopboard.sources.storage import age_seconds, create_marker, delete_tree, matching_paths
 
@@ -71,10 +71,9 @@ class StoplistStore:
 
     def apply(self, changes: DataFrame) -> DataFrame:
         """Apply a change log (seq, op, word, changed_at) and return the outcome of each change."""
-        before = self.table()
-        statuses = change_statuses(before, changes)
-        self.replace(changed_table(before, statuses))
-        return statuses
+        before, log = self.table(), normalized_changes(changes)
+        self.replace(changed_table(before, log))
+        return change_statuses(before, log)
 
     def keep_newest(self, count: int) -> int:
         """Delete all but the newest versions, and what failed changes before them have left."""

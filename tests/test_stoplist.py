@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopboard.operators.stoplist import (
+    _run_of,
     active_words,
     change_statuses,
     changed_table,
     conflicting_words,
     delete_words,
     insert_words,
+    normalized_changes,
     sorted_words,
 )
 
@@ -61,7 +63,7 @@ def test_statuses_of_a_change_log(spark, run):
         spark, ("add", " SPAM "), ("add", "spam"), ("remove", "Spam"), ("add", "spam"),
         ("add", "ads"), ("remove", "absent"), ("add", "  "), ("remove", ""), ("add", "STORED RAW"),
     )
-    statuses = change_statuses(table_of(spark, "ads", " stored raw"), log, run)
+    statuses = change_statuses(table_of(spark, "ads", " stored raw"), normalized_changes(log), run)
     assert statuses_of(statuses) == [
         "added", "conflict", "removed", "added", "conflict", "removed", "invalid", "invalid", "added",
     ]
@@ -87,18 +89,35 @@ def fold(base, log):
     return table, statuses
 
 
-@pytest.mark.parametrize("run", [3, 1000])
-def test_change_log_equals_folding_one_by_one(spark, run):
+@pytest.mark.parametrize("run, power", [(30, 1), (1000, 1), (30, 5)])
+def test_change_log_equals_folding_one_by_one(spark, run, power):
+    """With seq that runs on evenly, and with gaps that grow."""
     random.seed(run)
     texts = ["hot", " HOT", "hot ", "a", "B", "b", " ", "c  c", "C C"]
     log = [
-        (seq, random.choice(["add", "remove"]), random.choice(texts), START + timedelta(minutes=seq + 1))
+        (seq**power, random.choice(["add", "remove"]), random.choice(texts), START + timedelta(minutes=seq + 1))
         for seq in range(300)
     ]
     base = {"hot": START, "z": START}
     table = spark.createDataFrame(list(base.items()), TABLE)
-    statuses = change_statuses(table, spark.createDataFrame(log, CHANGES), run)
+    changes = normalized_changes(spark.createDataFrame(log, CHANGES))
+    statuses = change_statuses(table, changes, run)
     expected_table, expected_statuses = fold(base, log)
     assert statuses_of(statuses) == expected_statuses
-    got = {row["word"]: row["created_at"] for row in changed_table(table, statuses).collect()}
+    got = {row["word"]: row["created_at"] for row in changed_table(table, changes).collect()}
     assert got == expected_table
+
+
+def test_runs_have_about_equal_numbers_of_rows(spark):
+    log = spark.range(1000).selectExpr("id * id * id AS seq")
+    sizes = [row["count"] for row in log.groupBy(_run_of(log, 100).alias("run")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 120
+
+
+def test_log_and_table_are_read_once(spark, tmp_path):
+    table_of(spark, "a").write.parquet(str(tmp_path / "table"))
+    log = normalized_changes(log_of(spark, ("add", "b"), ("remove", "a")))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    for frame in (changed_table(table, log), change_statuses(table, log)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [word") + plan.count("/table") <= 3 and plan.count(f"{tmp_path}/table") == 1
