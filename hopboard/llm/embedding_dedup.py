@@ -209,12 +209,18 @@ def _centroids(classes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """Rows dealt out to pairs of blocks: the low block's home rows against all rows of the high block."""
-    sizes = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "place").withColumn("block", F.pmod(F.xxhash64("class_id", "cell"), "blocks").cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    """Rows dealt out to pairs of blocks: a block of the cell's home rows against one of all its rows.
+
+    The two are numbered apart: home rows are few of a cell's rows, and so are the copies of visiting rows.
+    """
+    sizes = placed.groupBy("place").agg(
+        F.ceil(F.count_if("home") / BLOCK).cast("int").alias("lows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("highs")
+    )
+    dealt = placed.join(sizes.where("lows > 0"), "place").withColumn("hash", F.xxhash64("class_id", "cell"))
+    low, high = (F.pmod("hash", count).cast("int") for count in ("lows", "highs"))
+    each_low, each_high = (F.explode(F.sequence(F.lit(0), F.col(count) - 1)) for count in ("lows", "highs"))
     columns = ["class_id", "copies", "unit"]
-    as_left = dealt.where("home").select("place", F.col("block").alias("low"), each.alias("high"), *columns, F.lit(True).alias("left"))
-    as_right = dealt.select("place", each.alias("low"), F.col("block").alias("high"), *columns, F.lit(False).alias("left"))
+    as_left = dealt.where("home").select("place", low.alias("low"), each_high.alias("high"), *columns, F.lit(True).alias("left"))
+    as_right = dealt.select("place", each_low.alias("low"), high.alias("high"), *columns, F.lit(False).alias("left"))
     both = as_left.unionByName(as_right).withColumn("right", ~F.col("left"))
     return both.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
