@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from hopboard.sources.storage import shared_folder
 
+HEAVY = 10_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,6 +92,19 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(differs) + 1
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows joined with the facts on their key; `facts` is a written table with the `count` of rows of each key.
+
+    A key may hold any share of the rows. No more than HEAVY keys can each have a share of 1 / HEAVY; the facts
+    on these are sent to all tasks, so that only the rows of other keys are brought together by key.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY >= total
+    hot = F.broadcast(facts.where(heavy))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(facts.where(~heavy), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), as (node, root), for nodes that have a link.
 

@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopboard.llm.common import text_key, texts, whole_groups, written
+from hopboard.llm.common import HEAVY, text_key, texts, whole_groups, written
 
-HEAVY = 10_000
 KEYS_PER_SHARD = 200_000
 _SLOTS = 4
 _BLANK = b" \t\n\v\f\r"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from hopboard.llm.common import LocalSets, components, text_key, texts, whole_groups, written
+from hopboard.llm.common import LocalSets, components, text_key, texts, whole_groups, with_facts, written
 
 TREES = 20
 LABEL = 6
@@ -221,12 +221,12 @@ def _flagged_rows(classes: DataFrame, percent: int, block: int) -> DataFrame:
     trees = classes.select("class_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
         "class_id", "tree", _prefix(DEPTH).alias("near"), _prefix(DEPTH + 1).alias("deep")
     )
-    crowds = trees.groupBy("near").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    placed = written(trees.join(crowds, "near"), "regions")
+    crowds = written(trees.groupBy("near").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
+    placed = written(with_facts(trees, crowds, "near", "size"), "regions")
     sparse = placed.where(F.col("size") <= block).select("class_id", "tree", F.col("near").alias("region"), "size")
     crowded = placed.where(F.col("size") > block).select("class_id", "tree", F.col("deep").alias("region"))
-    sizes = crowded.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    regions = sparse.unionByName(crowded.join(sizes, "region").select("class_id", "tree", "region", "size"))
+    sizes = written(crowded.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    regions = sparse.unionByName(with_facts(crowded, sizes, "region", "size").select("class_id", "tree", "region", "size"))
     blocks = F.ceil(F.col("size") / block).cast("int")
     paired = (
         regions.join(classes.select("class_id", "signature"), "class_id")
