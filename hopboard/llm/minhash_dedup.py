@@ -184,8 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     rows = written(source.mapInArrow(_features(words), schema), "features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     classes = written(
-        rows.where("set_key is not null").groupBy("set_key").agg(first, F.any_value("signature").alias("signature"))
-        .select(F.monotonically_increasing_id().alias("class_id"), "set_key", "first.doc_id", "first.text_key", "signature"),
+        rows.where("set_key is not null").groupBy("set_key").agg(first, F.any_value("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
+        .select(F.monotonically_increasing_id().alias("class_id"), "set_key", "first.doc_id", "first.text_key", "signature", "copies"),
         "classes",
     )
     flagged = _flagged_rows(classes, percent, block)
@@ -196,19 +196,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     )
     linked = components(links).withColumnsRenamed({"node": "class_id"})
     members = written(linked.join(classes.select("class_id", "set_key", "doc_id"), "class_id"), "members")
-    smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = members.select("root", "set_key").join(smallest, "root").select("set_key", "component_id")
-    own = classes.select("set_key", F.col("doc_id").alias("class_first"))
-    # Rows without words get keys of their own: nulls would all meet in one task.
-    key = F.coalesce("set_key", F.concat(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    joined = (
-        rows.select("doc_id", "text_key", "n_shingles", key.alias("set_key"))
-        .join(own.join(grouped, "set_key", "left").withColumn("has_words", F.lit(True)), "set_key", "left")
+    smallest = written(
+        members.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "smallest"
     )
-    component = F.when(F.col("has_words"), F.coalesce("component_id", "class_first")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    grouped = with_facts(members.select("root", "set_key"), smallest, "root", "size").select("set_key", "component_id")
+    facts = written(
+        classes.select("set_key", "copies", F.col("doc_id").alias("class_first")).join(grouped, "set_key", "left")
+        .select("set_key", "copies", F.coalesce("component_id", "class_first").alias("component_id")),
+        "facts",
     )
+    columns = ["doc_id", "text_key", "n_shingles", "component_id"]
+    judged = with_facts(rows.where("set_key is not null"), facts, "set_key", "copies").select(*columns)
+    wordless = rows.where("set_key is null").withColumn("component_id", F.col("doc_id")).select(*columns)
+    return judged.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _prefix(depth: int) -> Column:

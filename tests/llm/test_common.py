@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from hopboard.llm.common import components, whole_groups
+from hopboard.llm import common
+from hopboard.llm.common import components, whole_groups, with_facts
 
 
 def batches(rows, sizes):
@@ -54,3 +56,13 @@ def test_components_match_union_find(spark, edges):
         groups.setdefault(root, set()).add(find(node))
     assert all(len(roots) == 1 for roots in groups.values())
     assert len(groups) == len({find(x) for x in parent})
+
+
+def test_facts_reach_rows_of_hot_and_of_rare_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)
+    keys = [b"hot"] * 60 + [bytes([i]) for i in range(30)] + [b"alone"]
+    rows = spark.createDataFrame([(i, key) for i, key in enumerate(keys)], "id long, key binary")
+    facts = rows.where("key <> cast('alone' as binary)").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(tuple(row) for row in with_facts(rows, facts, "key", "n").select("id", "n").collect())
+    assert found == [(i, keys.count(key)) for i, key in enumerate(keys) if key != b"alone"]
+    assert with_facts(rows, facts.where("false"), "key", "n").isEmpty()
