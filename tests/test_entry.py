@@ -1,16 +1,22 @@
 """The entry point with and without the training-data operators."""
 
 import importlib
-import importlib.util
+import sys
+
+import pytest
 
 import __spark_entry__
 from hopboard.plans.catalog import QUERIES
 from hopboard.plans.oracle import ORACLE_SQL
 
 
-def test_other_queries_do_not_need_the_training_data_operators(monkeypatch):
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name else find(name, *a))
+@pytest.mark.parametrize("missing", ["hopboard.llm", "tiktoken"])
+def test_other_queries_do_not_need_the_training_data_operators(monkeypatch, missing):
+    """Without the subpackage, or without a package that it needs."""
+    for name in [name for name in sys.modules if name.startswith("hopboard.llm") or name == missing]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delattr("hopboard.llm", raising=False)
+    monkeypatch.setitem(sys.modules, missing, None)
     try:
         bare = importlib.reload(__spark_entry__)
         assert bare.queries() == QUERIES and bare.oracle_sql() == ORACLE_SQL
