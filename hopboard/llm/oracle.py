@@ -91,10 +91,57 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+_RUNS12 = """words || CASE WHEN len(words) > 1
+  THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE [] END"""
+
+OP12 = f"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i AS crc, 0 AS bit FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, bit + 1 FROM steps WHERE bit < 8
+),
+crc_table AS (SELECT list(crc ORDER BY byte) AS entries FROM steps WHERE bit = 8),
+d AS (SELECT doc_id, {_WORDS9} AS words FROM documents),
+b AS (SELECT {_WORDS9} AS words FROM benchmark),
+df AS (SELECT doc_id, unnest({_RUNS12}) AS feature FROM d),
+bf AS (SELECT unnest({_RUNS12}) AS feature FROM b),
+dn AS (SELECT doc_id, feature, count(*) AS n FROM df GROUP BY ALL),
+bn AS (SELECT feature, count(*) AS n FROM bf GROUP BY ALL),
+named AS (SELECT feature, hex(encode(feature)) AS code FROM (SELECT feature FROM dn UNION SELECT feature FROM bn)),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(code), 2), lambda i: ('0x' || code[i:i + 1])::BIGINT)),
+    lambda crc, byte: xor(crc >> 8, entries[xor(crc & 255, byte) + 1])), 4294967295) % 10000 AS bucket
+  FROM named, crc_table
+),
+s AS (SELECT bucket, sum(n) AS n FROM dn JOIN hashed USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bn JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (
+  SELECT s.bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + 10000))::DOUBLE
+    / ((s.n + 1) * (coalesce((SELECT sum(n) FROM t), 0) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+),
+weights AS (
+  SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS total
+  FROM dn JOIN hashed USING (feature) JOIN gains USING (bucket) GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce(floor(total::DOUBLE / n_features), 0)::BIGINT AS weight,
+    coalesce(floor(total::DOUBLE / n_features), 0)::BIGINT
+      + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS wanted
+  FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= wanted THEN rank END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_line_dedup": OP1,
     "op2_warc": OP2,
     "op6_embedding_dedup": OP6,
     "op7_minhash_dedup": OP7,
     "op9_decontamination": OP9,
+    "op12_importance": OP12,
 }

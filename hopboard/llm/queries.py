@@ -10,6 +10,7 @@ from hopboard.llm import language, quality
 from hopboard.llm.common import in_training, read_table, scratch_path
 from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
+from hopboard.llm.importance import resample
 from hopboard.llm.line_dedup import build_index, clean, line_keys
 from hopboard.llm.minhash_dedup import near_duplicates
 from hopboard.llm.mixing import mix
@@ -94,6 +95,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), ["doc_id"]).documents
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by how much their words and pairs of words resemble the benchmark's."""
+    found = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -105,5 +112,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op12_importance": op12_importance,
     "pipeline": corpus_pipeline.run,
 }

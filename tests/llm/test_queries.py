@@ -22,7 +22,7 @@ def duck():
 
 
 def test_names():
-    assert sorted(name.split("_")[0] for name in QUERIES) == sorted(["pipeline", *(f"op{n}" for n in range(1, 11))])
+    assert sorted(name.split("_")[0] for name in QUERIES) == sorted(["pipeline", *(f"op{n}" for n in range(1, 11)), "op12"])
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -95,7 +95,8 @@ def test_pipeline_stages(spark, duck):
     for (text,) in duck.execute("SELECT text FROM benchmark").fetchall():
         words = clean(text).split()
         windows |= {" ".join(words[i : i + 10]) for i in range(max(1, len(words) - 9))}
-    tainted = {row["doc_id"] for row in before.collect() if any(f" {window} " in f" {clean(row['text'])} " for window in windows)}
+    cleaned = {row["doc_id"]: f" {clean(row['text'])} " for row in before.collect()}
+    tainted = {doc_id for doc_id, text in cleaned.items() if any(f" {window} " in text for window in windows)}
     assert tainted and {row["doc_id"] for row in after.collect()} == {row["doc_id"] for row in before.collect()} - tainted
 
     before, after = steps["mixing"]
