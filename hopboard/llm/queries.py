@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hopboard.llm import language, quality
+from hopboard.llm import language, quality, whitening
 from hopboard.llm.common import in_training, read_table, scratch_path
 from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
@@ -101,6 +101,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings projected on their first eight principal components, each brought to unit variance."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -113,5 +119,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
     "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }

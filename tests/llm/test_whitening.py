@@ -1,0 +1,118 @@
+from math import floor, isfinite
+
+import numpy as np
+import pytest
+
+from hopboard.llm import whitening
+from hopboard.llm.queries import op13_whitening
+from hopboard.llm.whitening import bidiagonalise, centring, fit, identity_error, whiten
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def frame_of(spark, rows, kind="array<double>"):
+    frame = spark.createDataFrame([(i, row, 7, 0.5) for i, row in enumerate(rows)], f"vec_id long, embedding {kind}, n int, whitened double")
+    return frame.repartition(3)
+
+
+def brute(rows, wanted=8):
+    """Whole numbers, eigenvalues and components by a dense decomposition."""
+    x = {i: [floor(1024 * c) + 100_000 for c in row] for i, row in rows}
+    n = len(x)
+    sums = [sum(column) for column in zip(*x.values())]
+    matrix = np.array([[n * v - s for v, s in zip(row, sums)] for row in x.values()], object)
+    deviation = {i: sum(v * v for v in row) for i, row in zip(x, matrix.tolist())}
+    centred = matrix.astype(float) / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)[:wanted]
+    order = [i for i in order if values[i] > 1e-12 * values.max()]
+    white = centred @ vectors[:, order] / np.sqrt(values[order])
+    return deviation, dict(zip(x, white)), values[order] / values.sum()
+
+
+def compared(frame, rows, precise=1e-8):
+    deviation, white, explained = brute(rows)
+    got = whiten(frame, fit(frame))
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    got = got.orderBy("vec_id", "component").collect()
+    assert [(row["vec_id"], row["component"]) for row in got] == [(i, c) for i in sorted(white) for c in range(1, len(explained) + 1)]
+    assert {(row["vec_id"], row["n"], row["deviation"]) for row in got} == {(i, len(rows), d) for i, d in deviation.items()}
+    for row in got:
+        assert row["explained"] == pytest.approx(explained[row["component"] - 1], rel=1e-9)
+        assert row["identity_error"] < 1e-10
+    for c in range(len(explained)):
+        one = np.array([row["whitened"] for row in got if row["component"] == c + 1])
+        other = np.array([white[i][c] for i in sorted(white)])
+        assert min(np.abs(one - other).max(), np.abs(one + other).max()) < precise
+
+
+def test_query_against_dense_decomposition(spark):
+    frame = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    rows = [(row["vec_id"], row["embedding"]) for row in frame.collect()]
+    compared(frame, rows)
+    assert op13_whitening(spark, SF_DIR).count() == 8 * len(rows)
+
+
+def test_odd_vectors_are_left_out(spark):
+    random = np.random.default_rng(2)
+    good = [[float(c) for c in row] for row in random.normal(0, 3, (40, 12)) * np.arange(1, 13)]
+    odd = [None, [], [1.0] * 11, [float("nan")] * 12, [None] + [1.0] * 11, [float("inf")] * 12, [1e300] * 12]
+    frame = frame_of(spark, good + odd + good[:3])
+    compared(frame, [(i, row) for i, row in enumerate(good + odd + good[:3]) if row and len(row) == 12 and all(c is not None and isfinite(c) and abs(c) < 1e12 for c in row)])
+
+
+@pytest.mark.parametrize("n, d", [(2, 5), (5, 3), (9, 9), (30, 1), (200, 40)])
+def test_small_and_lean_tables(spark, n, d):
+    rows = [[float(c) for c in row] for row in np.random.default_rng(n).normal(0, 1, (n, d))]
+    compared(frame_of(spark, rows), list(enumerate(rows)), 1e-6)
+
+
+@pytest.mark.parametrize("rows", [[], [[1.0, 2.0]], [[1.0, 2.0]] * 5, [None, []], [[]]])
+def test_nothing_to_whiten(spark, rows):
+    frame = frame_of(spark, rows)
+    assert whiten(frame, fit(frame)).collect() == []
+
+
+def test_equal_eigenvalues_are_all_found(spark):
+    """Along each axis the same spread: eight equal eigenvalues, and whatever axes are picked, the result is white."""
+    rows = [[float(s * (i == j)) for j in range(8)] for i in range(8) for s in (-2, 2)]
+    frame = frame_of(spark, rows)
+    model = fit(frame)
+    assert np.allclose(model.eigenvalues, model.eigenvalues[0]) and len(model.eigenvalues) == 8
+    assert identity_error(frame, model) < 1e-10
+
+
+def test_process_is_bidiagonal_and_orthonormal(spark):
+    random = np.random.default_rng(5)
+    data = random.normal(0, 1, (300, 60)) * (0.8 ** np.arange(60))
+    frame = frame_of(spark, [[float(c) for c in row] for row in data])
+    centre = centring(frame)
+    found = bidiagonalise(frame, centre, 4)
+    x = centre.rows(np.floor(1024 * data).astype(np.int64) + 100_000)
+    left = x @ found.left
+    assert np.allclose(left.T @ left, np.eye(left.shape[1]), atol=1e-9)
+    assert np.allclose(found.right.T @ found.right, np.eye(found.right.shape[1]), atol=1e-12)
+    matrix = found.matrix / np.abs(found.matrix).max()
+    blocks = np.arange(len(matrix)) // 4
+    outside = (blocks[None, :] < blocks[:, None]) | (blocks[None, :] > blocks[:, None] + 1)
+    assert np.abs(matrix[outside]).max() < 1e-9
+    sigma, vectors, _ = found.triplets()
+    assert np.allclose(sigma[:4], np.linalg.svd(x, compute_uv=False)[:4], rtol=1e-12)
+    assert np.allclose(np.linalg.norm(x @ vectors[:, :4], axis=0), sigma[:4], rtol=1e-12)
+
+
+def test_early_end_with_many_dimensions(spark, monkeypatch):
+    """A falling spectrum settles long before all dimensions are used."""
+    random = np.random.default_rng(6)
+    data = random.normal(0, 1, (400, 200)) * np.r_[1000 / np.arange(1, 13) ** 2, np.full(188, 0.1)]
+    frame = frame_of(spark, [[float(c) for c in row] for row in data])
+    found = bidiagonalise(frame, centring(frame))
+    assert found.right.shape[1] <= 80
+
+
+def test_deviations_beyond_64_bits():
+    centre = whitening.Centring(2, 3, np.array([2**40, 0]))
+    x = np.array([[2**41, 0], [1, 1]])
+    assert whitening._deviations(x, centre) == [None, None]
+    centre = whitening.Centring(2, 3, np.array([6, 3]))
+    assert whitening._deviations(np.array([[2**29, 1], [2, 1]]), centre) == [(3 * 2**29 - 6) ** 2, 0]
