@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hopboard.llm import language, quality, whitening
+from hopboard.llm import html_extraction, language, quality, whitening
 from hopboard.llm.common import in_training, read_table, scratch_path
 from hopboard.llm.decontamination import contamination
 from hopboard.llm.embedding_dedup import linked_vectors
@@ -95,6 +95,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), ["doc_id"]).documents
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages), ["page_id", "url"])
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents, drawn by how much their words and pairs of words resemble the benchmark's."""
     found = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -118,6 +124,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_html_extraction": op11_html_extraction,
     "op12_importance": op12_importance,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,

@@ -1,0 +1,174 @@
+import html
+import random
+import re
+import time
+from itertools import product
+
+import numpy as np
+import pytest
+
+from hopboard.llm import html_extraction
+from hopboard.llm.dom import parse
+from hopboard.llm.html_extraction import ALL, BOTH, NONE, Nodes, decode, extract, features, fit, grow, log_chances, main_texts, states, train
+from hopboard.llm.queries import op11_html_extraction
+from hopboard.llm.training_pages import MARK, training_pages
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def model():
+    """Taught on invented words only."""
+    return fit(training_pages([], 800, random.Random(5)))
+
+
+def article_of(page):
+    """The text of the only article element of a supplied page, by its tags."""
+    inside = re.search("<article>(.*)</article>", page, re.S).group(1)
+    blocks = [" ".join(html.unescape(re.sub("<[^>]+>", " ", block)).split()) for block in re.split("</?(?:p|h1)>", inside)]
+    return "\n\n".join(block for block in blocks if block)
+
+
+def test_query_against_articles_by_tag(spark):
+    pages = {row["page_id"]: row for row in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
+    rows = op11_html_extraction(spark, SF_DIR).collect()
+    assert len(rows) == len(pages)
+    right = [row["text"] == article_of(pages[row["page_id"]]["html"]) for row in rows]
+    assert np.mean(right) >= 0.98
+    assert all(row["n_chars"] == len(row["text"]) and row["url"] == pages[row["page_id"]]["url"] for row in rows)
+
+
+LONG = "The town council met on Tuesday, and the vote on the new bridge was put off. Members asked for more figures before spring."
+HEAD = "<!DOCTYPE html><html><head><title>T</title><script>if (a</p>b) x('<p>no</p>')</script></head><body>"
+PARTS = {
+    "menu": '<div class="main-menu"><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div>',
+    "cookies": f'<div id="cookie-notice"><p>We use cookies, and so do our partners. {LONG}</p><button>OK</button></div>',
+    "advert": f'<div class="advert">Buy two, get one. {LONG}</div>',
+    "sidebar": '<aside><h3>Popular</h3><ul><li><a href=1>One story</a><li><a href=2>Another story</a></ul></aside>',
+    "form": "<form><label>Mail</label><input><button>Send</button></form>",
+    "footer": '<footer>&copy; The Paper &middot; <a href="/legal">Legal</a></footer>',
+    "comments": f'<section id="comments"><h3>3 comments</h3><div class="comment"><b>Ann</b><p>I was there, {LONG}</p></div>'
+    f'<div class="comment"><b>Bob</b><p>So was I. {LONG}</p></div></section>',
+}
+
+
+@pytest.mark.parametrize("wrapper", ["<article>{}</article>", '<div class="post-content">{}</div>', '<main><div id="story">{}</div></main>'])
+def test_article_among_everything_else(model, wrapper):
+    article = f"<h1>Bridge vote</h1><p>{LONG}<p>It was <a href=x>not the first</a>&nbsp;time.\n {LONG}</p><ul><li>First<li>Second, {LONG}</ul>"
+    page = HEAD + "".join(PARTS[k] for k in ("menu", "cookies", "advert")) + wrapper.format(article) + "".join(PARTS[k] for k in ("sidebar", "form", "comments", "footer"))
+    want = ["Bridge vote", LONG, f"It was not the first time. {LONG}", "First", f"Second, {LONG}"]
+    assert main_texts(model, [page]) == ["\n\n".join(want)]
+
+
+def test_advert_inside_the_article(model):
+    page = HEAD + PARTS["menu"] + f"<article><h1>Vote</h1><p>{LONG}</p>{PARTS['advert']}<p>{LONG}</p><p>{LONG}</p></article>" + PARTS["footer"]
+    assert main_texts(model, [page]) == ["\n\n".join(["Vote", LONG, LONG, LONG])]
+
+
+def test_pages_without_an_article(model):
+    pages = [HEAD + "".join(PARTS[k] for k in PARTS if k not in "comments"), HEAD, "", " \n ", "<div></div>", "<!-- never closed <p>x"]
+    assert main_texts(model, pages) == [""] * len(pages)
+
+
+def test_held_out_layouts(model):
+    pages = training_pages([], 300, random.Random(77))
+    want = [[text.replace(MARK, "") for text in parse(page).texts if MARK in text] for page in pages]
+    got = main_texts(model, [page.replace(MARK, "") for page in pages])
+    assert np.mean(["\n\n".join(a) == b for a, b in zip(want, got)]) >= 0.85
+
+
+def test_page_text_does_not_depend_on_its_neighbours(model):
+    pages = [page.replace(MARK, "") for page in training_pages([], 30, random.Random(8))]
+    assert main_texts(model, pages) == [text for page in pages for text in main_texts(model, [page])]
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("a<br>b <b>c</b><p>d<p>e</p>f", ["a b c", "d", "e", "f"]),
+    ("<li>a<li>b<ul><li>c</ul>d", ["a", "b", "c", "d"]),
+    ("<table><tr><td>a<td>b<tr><td><p>c</table>d", ["a", "b", "c", "d"]),
+    ("<p>1 &lt; 2 &amp;&nbsp;3 &#8230; &unknown; a < b", ["1 < 2 & 3 … &unknown; a < b"]),
+    ("<style>p{}</style><p title='<b>'>a<script>'</p>'</script>b</p><svg><text>no</text></svg>", ["ab"]),
+    ("<p class=a title=it's>x</p><p title=\"y>z</p><p>w", ["x", "z", "w"]),
+    ("<head><title>t</title><p>a", ["a"]),
+    ("<!DOCTYPE html><!-- a > b --><?x?>c<![CDATA[d]]>e</p></div>f", ["ce", "f"]),
+    ("<div><button>x<div>y</div></div>z", ["z"]),
+    ("a<p>b<a href", ["a", "b"]),
+    ("<textarea><p>x</textarea>y<noscript><p>no</p></noscript>", ["y"]),
+])
+def test_parsing(page, texts):
+    assert parse(page).texts == texts
+
+
+def test_links_and_tokens():
+    tree = parse('<body class=home><div id="siteHeader" class="top nav-2"><a href=1>one</a> two <a>three</div>four')
+    assert tree.tokens[0] == ["home"] and tree.tokens[1] == ["site", "header", "top", "nav"]
+    assert tree.texts == ["one two three", "four"] and tree.linked == [8, 0]
+
+
+def test_long_and_deep_pages_take_time_in_proportion(model):
+    started = time.time()
+    pages = ["<div>" * 50_000 + "deep", "<p>word " * 20_000, "<" * 100_000, "<a " * 50_000, "<p x='" * 50_000, "<!--" * 50_000, "&amp;" * 100_000]
+    assert len(main_texts(model, pages)) == len(pages)
+    assert time.time() - started < 60
+
+
+def test_decoding_against_all_choices():
+    """The best of all choices that break no rule, on random trees."""
+    draw = np.random.default_rng(1)
+    for _ in range(60):
+        tree = parse("".join(draw.choice(["<div>", "</div>", "x<hr>", "<p>y</p>"], 9)))
+        nodes = Nodes([tree])
+        chances = np.log(draw.dirichlet(np.ones(3), nodes.n))
+        owners = set(nodes.owner.tolist())
+        best = max(
+            (sum(chances[i, s] for i, s in enumerate(choice)), choice)
+            for choice in product((ALL, NONE, BOTH), repeat=nodes.n)
+            if all(p < 0 or choice[p] in (BOTH, s) for s, p in zip(choice, nodes.parent)) and not any(choice[i] == BOTH for i in owners)
+        ) if nodes.n <= 9 else None
+        if best:
+            assert tuple(decode(nodes, chances)) == best[1]
+
+
+def test_states_follow_the_texts():
+    nodes = Nodes([parse("<div><p>a</p><p>b</p></div><div>c</div><i></i><section></section>")])
+    found = dict(zip(zip(nodes.tags, nodes.depth.tolist()), states(nodes, np.array([True, True, False])).tolist()))
+    assert found[("body", 0)] == BOTH and found[("section", 1)] == NONE
+    assert states(nodes, np.array([True, True, False])).tolist()[1:4] == [ALL, ALL, ALL]
+
+
+def test_trees_learn_a_rule():
+    draw = np.random.default_rng(2)
+    rows = draw.random((2000, 5)).astype(np.float32)
+    classes = np.where(rows[:, 1] > 0.6, ALL, np.where(rows[:, 3] > 0.5, NONE, BOTH))
+    trees = grow(rows[:1000], classes[:1000], 10)
+    scores = trees.scores(rows[1000:])
+    assert (scores.argmax(axis=1) == classes[1000:]).mean() > 0.95
+    assert np.allclose(np.exp(log_chances(scores)).sum(axis=1), 1)
+
+
+def test_features_are_finite(model):
+    nodes = Nodes([parse(page) for page in ["", "x", "<p>", "<p>a<div>b</div>", PARTS["comments"]]])
+    rows = features(nodes, model.odds)
+    assert len(rows) == nodes.n and np.isfinite(rows).all()
+
+
+def test_odd_tables(spark):
+    odd = [None, "", " ", "x", "<p>" + "long word " * 50_000, PARTS["menu"], PARTS["menu"]]
+    rows = [(i if i else None, page, "u", 5, "t") for i, page in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "page_id long, html string, url string, n_chars int, text string").repartition(3)
+    found = extract(frame, train(frame, train_pages=200), frame.columns)
+    assert found.columns == ["page_id", "html", "url", "text", "n_chars"]
+    rows = sorted(found.collect(), key=lambda row: row["page_id"] or 0)
+    assert [row["html"] for row in rows] == odd
+    assert [row["text"] for row in rows[:3]] == [""] * 3 and all(row["n_chars"] == len(row["text"]) for row in rows)
+    assert rows[5]["text"] == rows[6]["text"]
+    empty = frame.limit(0)
+    assert extract(empty, train(empty, train_pages=50), ["page_id"]).collect() == []
+
+
+def test_pages_are_described_in_parts(spark, model, monkeypatch):
+    pages = [page.replace(MARK, "") for page in training_pages([], 12, random.Random(3))]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1)
+    want = main_texts(model, pages)
+    monkeypatch.setattr(html_extraction, "PAGE_BATCH", 3000)
+    assert [row["text"] for row in extract(frame, model, ["page_id"]).orderBy("page_id").collect()] == want
