@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopboard.operators.ranking import Ban, without_banned
+from hopboard.operators.sketch_replay import sketch_levels
 from hopboard.params import BoardParams
 
 
@@ -88,8 +89,12 @@ def top_per_tick(
     stoplist: DataFrame | None = None,
     ban: Ban | None = None,
 ) -> DataFrame:
-    """First top_k queries of every tick; the last tick defaults to the newest bucket of the rows."""
-    levels = without_banned(levels_of(rows, params, last_tick), stoplist, ban)
+    """First top_k queries of every tick; the last tick defaults to the newest bucket of the rows.
+
+    With counter `hll` counts are estimates, from events or from sketch rows of buckets.
+    """
+    replayed = levels_of if params.counter == "exact" else sketch_levels
+    levels = without_banned(replayed(rows, params, last_tick), stoplist, ban)
     counts = each_tick(contenders(levels, params))
     rank = F.row_number().over(Window.partitionBy("tick").orderBy(F.desc("count"), F.asc("query")))
     return counts.withColumn("rank", rank).where(F.col("rank") <= params.top_k).select("tick", "rank", "query", "count")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from hopboard.functions.messages import decode_events, encode_event
 from hopboard.functions.text import normalize_query
-from hopboard.operators import counting, hopping, ingest, ranking, stoplist, upkeep
+from hopboard.operators import bounds, counting, hopping, ingest, ranking, stoplist, upkeep
 from hopboard.operators.pruning import before_window
+from hopboard.operators.sketch_replay import sketch_levels
 from hopboard.params import parse_top_limit
 from hopboard.plans.sample import (
     AS_OF,
@@ -171,6 +172,33 @@ def hopping_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hopping.top_per_tick(_history(spark, sf_dir), replace(PARAMS, top_k=5))
 
 
+def hopping_top_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of every query at every tick from united sketches, beside the exact counts."""
+    rows = _history(spark, sf_dir)
+    exact = hopping.each_tick(hopping.levels_of(rows, PARAMS))
+    return _beside_exact(exact, hopping.each_tick(sketch_levels(rows, SKETCH_PARAMS)), ["tick", "query"])
+
+
+def top_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board from a store of sketches, of which only those of contenders are opened.
+
+    The folder stays, since the result reads it.
+    """
+    buckets = BucketStore(f"{shared_folder(spark)}/top_bounded-{uuid4()}", SKETCH_PARAMS)
+    buckets.write(window_rows(spark, sf_dir), "all")
+    return bounds.top_bounded(buckets.read(spark, *PARAMS.live_range(AS_OF)), SKETCH_PARAMS, AS_OF)
+
+
+def top_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board from sketches, with what their error leaves open, and whether it holds for the exact counts."""
+    rows = window_rows(spark, sf_dir)
+    estimates = counting.query_counts(counting.bucket_sketches(rows, SKETCH_PARAMS))
+    exact = counting.query_counts(rows).withColumnRenamed("count", "exact")
+    enclosed = F.col("exact").between(F.col("low"), F.col("high"))
+    certain = bounds.with_certainty(estimates, SKETCH_PARAMS).join(exact, "query")
+    return certain.select("rank", "query", "count", "low", "high", "in_top", "at_rank", enclosed.alias("enclosed"))
+
+
 def expired_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = before_window(_events(spark, sf_dir), PARAMS, AS_OF)
     rows = ingest.valid_events(search_events(old).where("well_formed"), PARAMS)
@@ -292,6 +320,9 @@ QUERIES: dict[str, Query] = {
     "top_prefix": top_prefix,
     "top_json": top_json,
     "hopping_top": hopping_top,
+    "hopping_top_approx": hopping_top_approx,
+    "top_bounded": top_bounded,
+    "top_certain": top_certain,
     "expired_buckets": expired_buckets,
     "stoplist_clean": stoplist_clean,
     "stoplist_list": stoplist_list,

@@ -10,6 +10,8 @@ _AS_OF_MS = 1705754096000
 _WIDTH_MS = 21600000
 _CURRENT = f"({_AS_OF_MS} // {_WIDTH_MS})"
 _OLDEST = f"({_CURRENT} - 27)"
+# Three standard errors of a sketch of 2**14 registers.
+_ERROR = "CAST(3 * 1.04 / 128 AS DOUBLE)"
 _SPACE = r"[\t\n\v\f\r \x{85}\x{A0}\p{Z}]"
 
 
@@ -183,6 +185,20 @@ live AS (
 )
 SELECT tick, CAST(row_number() OVER (PARTITION BY tick ORDER BY count DESC, query) AS INTEGER) AS rank, query, count
 FROM live QUALIFY rank <= 5""",
+    "hopping_top_approx": f"""WITH {_CLASSIFIED},
+ticks AS (SELECT unnest(range(min(bucket_id), max(bucket_id) + 1)) AS tick FROM history)
+SELECT tick, query, count(DISTINCT source) AS count, TRUE AS within_tolerance
+FROM ticks JOIN history ON bucket_id BETWEEN tick - 27 AND tick GROUP BY tick, query""",
+    "top_bounded": f"WITH {_TOP} SELECT * FROM top",
+    "top_certain": f"""WITH {_CLASSIFIED},
+counts AS (SELECT query, count(DISTINCT source) AS count FROM consumed GROUP BY query),
+places AS (SELECT {_RANK}, CAST(ceil(count / (1 + {_ERROR})) AS BIGINT) AS low, CAST(floor(count / (1 - {_ERROR})) AS BIGINT) AS high FROM counts)
+SELECT rank, query, count, low, high,
+  low > coalesce((SELECT max(high) FROM places WHERE rank = 21), 0) AS in_top,
+  low > coalesce((SELECT max(high) FROM places AS next WHERE next.rank = places.rank + 1), 0)
+    AND high < coalesce((SELECT min(low) FROM places AS last WHERE last.rank = places.rank - 1), 9223372036854775807) AS at_rank,
+  TRUE AS enclosed
+FROM places WHERE rank <= 20""",
     "expired_buckets": f"""WITH {_CLASSIFIED}
 SELECT bucket_id, count(DISTINCT query) AS queries FROM history WHERE bucket_id < {_OLDEST} GROUP BY bucket_id""",
     "stoplist_clean": f"WITH {_STORED} SELECT word FROM active",

@@ -10,6 +10,9 @@ first and deletes the folded batches only after a grace period, so that readers
 can finish; until then both are there, which changes no count. A compaction that fails leaves at most
 a copy of rows that are there anyway, and the next one folds again. A folded batch that is delivered
 again after its deletion writes its rows once more, which changes no count either.
+
+A sketch is stored with its estimate, and files are sorted by query: boards are cut by the estimates alone, and a scan
+for some queries skips the pages of others. Rows stored without an estimate have a null one.
 """
 
 from __future__ import annotations
@@ -72,8 +75,11 @@ class BucketStore:
         return len(expired)
 
     def _store(self, rows: DataFrame, batch: str) -> None:
+        if self.params.counter == "hll":
+            rows = rows.withColumn("estimate", F.hll_sketch_estimate("sketch"))
         (
             rows.hint("rebalance", "bucket_id")
+            .sortWithinPartitions("bucket_id", "query")
             .withColumn("batch", F.lit(batch))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -82,7 +88,7 @@ class BucketStore:
         )
 
     def _rows(self, spark: SparkSession, paths: list[str]) -> DataFrame:
-        state = "source STRING" if self.params.counter == "exact" else "sketch BINARY"
+        state = "source STRING" if self.params.counter == "exact" else "sketch BINARY, estimate BIGINT"
         schema = f"query STRING, {state}, bucket_id BIGINT, batch STRING"
         try:
             stored = spark.read.schema(schema).option("basePath", self.path).parquet(*paths)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hopboard.operators.bounds import top_bounded
 from hopboard.operators.ingest import accepted, ingest, outcome_counters
 from hopboard.operators.ranking import Ban, top_as_of
 from hopboard.params import BoardParams
@@ -68,9 +69,13 @@ def rebuild(
     stoplist: StoplistProvider | None = None,
     ban: Ban | None = None,
 ) -> None:
-    """Build and publish the board of one instant. The stop-list is read anew, and only applied here."""
+    """Build and publish the board of one instant. The stop-list is read anew, and only applied here.
+
+    From sketches, the board is first cut by their stored estimates, so that few are opened.
+    """
     live = buckets.read(spark, *params.live_range(as_of))
-    boards.publish(top_as_of(live, params, as_of, stoplist() if stoplist else None, ban), as_of)
+    ranked = top_as_of if params.counter == "exact" else top_bounded
+    boards.publish(ranked(live, params, as_of, stoplist() if stoplist else None, ban), as_of)
 
 
 def start_rebuilding(
