@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from threading import Event
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,16 @@ from hopboard.plans.sample import (
     stored_stopwords,
     window_rows,
 )
-from hopboard.sources.generator import FLOOD_QUERY, FLOOD_SOURCE
+from hopboard.sources import generator
+from hopboard.sources.files import stream_messages
+from hopboard.sources.generator import FLOOD_QUERY, FLOOD_SOURCE, MIX_QUERIES
+from hopboard.sources.message_log import append_messages, committed_offsets, read_log
 from hopboard.sources.storage import shared_folder
 from hopboard.streaming.bucket_store import BucketStore
-from hopboard.streaming.jobs import rebuild, start_ingest
+from hopboard.streaming.counter_store import CounterStore
+from hopboard.streaming.jobs import Sink, keep_running, rebuild, start_ingest
 from hopboard.streaming.snapshot_store import SnapshotStore
+from hopboard.streaming.stateful_window import board_of, start_windowed
 from hopboard.streaming.stoplist_store import StoplistStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,6 +307,105 @@ def stream_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.top(spark, "20", AS_OF).select("rank", "query", "count")
 
 
+def _deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All messages in two deliveries, cut in the middle of the window."""
+    delivered = _messages(spark, sf_dir)
+    middle = F.expr("TIMESTAMP_NTZ'2024-01-17 00:00:00'")
+    return [delivered.where(F.col("ts") < middle), delivered.where(F.col("ts") >= middle)]
+
+
+def _failing_once(sink: Sink) -> Sink:
+    """A sink that fails after its first batch is stored, so that the batch is delivered again."""
+    failed = []
+
+    def store(batch: DataFrame, name: str) -> None:
+        sink(batch, name)
+        if not failed:
+            failed.append(name)
+            raise RuntimeError("failed after the batch was stored")
+
+    return store
+
+
+def stateful_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board from the state of a stream that is stopped in the middle and started again.
+
+    The folder stays, since the result reads the state in it.
+    """
+    folder = f"{shared_folder(spark)}/stateful_top-{uuid4()}"
+    for delivery in _deliveries(spark, sf_dir):
+        delivery.select("value").write.mode("append").text(f"{folder}/messages")
+        stream = stream_messages(spark, f"{folder}/messages")
+        start_windowed(stream, PARAMS, f"{folder}/checkpoint", AS_OF, {"availableNow": True}).awaitTermination()
+    return board_of(spark, PARAMS, f"{folder}/checkpoint", AS_OF)
+
+
+def scripted_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board from a log with offsets, by a job that fails and starts again, and how many messages it has committed.
+
+    The folder stays, since the result reads the buckets in it.
+    """
+    folder = f"{shared_folder(spark)}/scripted_source-{uuid4()}"
+    buckets = BucketStore(f"{folder}/buckets", PARAMS)
+    sink = _failing_once(buckets.write)
+    log, checkpoint = f"{folder}/log", f"{folder}/checkpoint"
+    for delivery in _deliveries(spark, sf_dir):
+        append_messages(delivery, log, "id", 4)
+        start = lambda: start_ingest(read_log(spark, log), PARAMS, sink, checkpoint, AS_OF, {"availableNow": True})
+        keep_running(start, Event(), delay_seconds=0)
+    committed = sum(committed_offsets(spark, checkpoint).values())
+    board = ranking.top_as_of(buckets.read(spark, *PARAMS.live_range(AS_OF)), PARAMS, AS_OF)
+    return board.select("rank", "query", "count", F.lit(committed).cast("bigint").alias("committed"))
+
+
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a job whose first batch is delivered twice, with the sums that must hold among them.
+
+    The folder stays, since the result reads the counters in it.
+    """
+    folder = f"{shared_folder(spark)}/stream_counters-{uuid4()}"
+    counters = CounterStore(f"{folder}/counters")
+    sink = _failing_once(BucketStore(f"{folder}/buckets", PARAMS).write)
+    for delivery in _deliveries(spark, sf_dir):
+        delivery.select("value").write.mode("append").text(f"{folder}/messages")
+        start = lambda: start_ingest(
+            stream_messages(spark, f"{folder}/messages"), PARAMS, sink, f"{folder}/checkpoint", AS_OF, {"availableNow": True}, counters=counters
+        )
+        keep_running(start, Event(), delay_seconds=0)
+    counters.fold(spark)
+    return counters.counters(spark).withColumns({
+        "decoded_adds_up": F.col("decoded") == F.col("consumed") + F.col("norm_dropped") + F.col("out_of_window"),
+        "messages_add_up": F.col("messages") == F.col("decoded") + F.col("invalid"),
+    })
+
+
+def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many generated events as the table has, and users, from streams started three times over.
+
+    One query from all users in turn, and a flood by one source with a fifth as much ordinary traffic. The folder
+    stays, since the result reads the events in it.
+    """
+    folder = f"{shared_folder(spark)}/generated_events-{uuid4()}"
+    size = _events(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")).first()
+    modes = {
+        "fixed": (size["n"], lambda numbers: generator.fixed_events(numbers, MIX_QUERIES[0], max(1, size["users"]), AS_OF)),
+        "flood": (size["n"] + size["n"] // 5, lambda numbers: generator.flood_events(numbers, AS_OF, size["n"])),
+    }
+    events = []
+    for mode, (n, made) in modes.items():
+        for _ in range(3):
+            numbers = generator.numbers_stream(spark, -(-n // 3), 4).where(F.col("id") < n)
+            writer = made(numbers).writeStream.format("parquet").option("checkpointLocation", f"{folder}/{mode}-checkpoint")
+            writer.trigger(availableNow=True).start(f"{folder}/{mode}").awaitTermination()
+        events.append(spark.read.parquet(f"{folder}/{mode}").withColumn("mode", F.lit(mode)))
+    kind = F.when(F.col("query").isin(FLOOD_QUERY, MIX_QUERIES[0]) & ((F.col("mode") == "fixed") | (F.col("source") == FLOOD_SOURCE)), F.col("query"))
+    return (
+        events[0].unionByName(events[1]).groupBy("mode", F.coalesce(kind, F.lit("ordinary")).alias("query"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source").alias("sources"))
+        .withColumn("sources", F.when(F.col("query") != "ordinary", F.col("sources")))
+    )
+
+
 QUERIES: dict[str, Query] = {
     "raw_events": raw_events,
     "decode_outcomes": decode_outcomes,
@@ -336,4 +441,8 @@ QUERIES: dict[str, Query] = {
     "replay_idempotent": replay_idempotent,
     "event_roundtrip": event_roundtrip,
     "stream_top": stream_top,
+    "stateful_top": stateful_top,
+    "scripted_source": scripted_source,
+    "stream_counters": stream_counters,
+    "generated_events": generated_events,
 }

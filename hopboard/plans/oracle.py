@@ -241,4 +241,19 @@ SELECT {_RANK} FROM counts QUALIFY rank <= 1000""",
     "event_roundtrip": f"""WITH {_SEARCH}
 SELECT query, source, ts_ms, event_id, TRUE AS well_formed FROM search WHERE {_reason('TRUE')} IS NULL""",
     "stream_top": f"WITH {_TOP} SELECT * FROM top",
+    "stateful_top": f"WITH {_TOP} SELECT * FROM top",
+    "scripted_source": f"WITH {_TOP} SELECT *, (SELECT count(*) FROM events) AS committed FROM top",
+    "stream_counters": f"""WITH {_CLASSIFIED}
+SELECT count(*) AS messages,
+  count(*) FILTER (outcome = 'consumed') AS consumed,
+  count(*) FILTER (outcome <> 'invalid') AS decoded,
+  count(*) FILTER (outcome = 'invalid') AS invalid,
+  count(*) FILTER (outcome = 'norm_dropped') AS norm_dropped,
+  count(*) FILTER (outcome = 'out_of_window') AS out_of_window,
+  TRUE AS decoded_adds_up, TRUE AS messages_add_up
+FROM classified""",
+    "generated_events": """WITH size AS (SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events)
+SELECT 'fixed' AS mode, 'слайм' AS query, n AS rows, least(n, users) AS sources FROM size
+UNION ALL SELECT 'flood', 'накрутка', n, 1 FROM size
+UNION ALL SELECT 'flood', 'ordinary', n // 5, NULL FROM size""",
 }

@@ -24,9 +24,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
     The files are inputs of what the caller makes of it and stay until the shared folder is cleared.
     """
+    return written_at(frame, name)[1]
+
+
+def written_at(frame: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """The same with the path, for a caller who deletes the files when done with the frame."""
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return path, frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def create_marker(spark: SparkSession, location: str) -> None:

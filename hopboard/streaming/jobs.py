@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hopboard.functions.selecting import keep_where
 from hopboard.operators.bounds import top_bounded
-from hopboard.operators.ingest import accepted, ingest, outcome_counters
+from hopboard.operators.ingest import CONSUMED, accepted, ingest, outcome_counters
 from hopboard.operators.ranking import Ban, top_as_of
 from hopboard.params import BoardParams
+from hopboard.sources.storage import delete_tree, written_at
 from hopboard.streaming.bucket_store import BucketStore
+from hopboard.streaming.counter_store import CounterStore
 from hopboard.streaming.snapshot_store import SnapshotStore
 
 logger = logging.getLogger(__name__)
@@ -37,6 +40,7 @@ def start_ingest(
     arrival: Column | datetime | None = None,
     trigger: dict | None = None,
     value: str = "value",
+    counters: CounterStore | None = None,
 ) -> StreamingQuery:
     """Classify a stream of messages and hand the accepted events of each batch to the sink.
 
@@ -46,20 +50,40 @@ def start_ingest(
 
     The sink gets the batch's accepted events and a name for the batch that stays the same when
     the batch is run again; `BucketStore.write` is one.
+
+    The counters in the progress may count a stage twice that runs again. With a counter store they are
+    also kept exactly, under the name of the batch: each batch is classified once into its different events with
+    their numbers, written to the shared folder, and both the sink and the counters read these.
     """
     clock = F.current_timestamp() if arrival is None else arrival
     stamped = messages if isinstance(clock, datetime) else messages.withColumn("_arrival", clock)
     judged_by = clock if isinstance(clock, datetime) else F.col("_arrival")
-    rows = accepted(ingest(stamped, params, judged_by, value).observe("ingest_outcomes", *outcome_counters()))
+    classified = ingest(stamped, params, judged_by, value).observe("ingest_outcomes", *outcome_counters())
+    rows = accepted(classified) if counters is None else _with_outcome(classified)
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        sink(batch, f"{query_id}-{batch_id}")
+        name = f"{query_id}-{batch_id}"
+        if counters is None:
+            sink(batch, name)
+            return
+        different = batch.groupBy(*batch.columns).agg(F.count(F.lit(1)).alias("events"))
+        path, counted = written_at(different, f"counted-{name}")
+        sink(counted.where(F.col("outcome") == CONSUMED).select("bucket_id", "query", "source"), name)
+        counters.write(counted.groupBy("outcome").agg(F.sum("events").alias("events")), name)
+        delete_tree(batch.sparkSession, path)
 
     writer = rows.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def _with_outcome(classified: DataFrame) -> DataFrame:
+    """Outcome, and what goes into the window of consumed events; refused ones of an outcome are all alike."""
+    consumed = F.col("outcome") == CONSUMED
+    columns = {"bucket_id": "bucket_id", "query": "norm_query", "source": "source"}
+    return keep_where(classified, F.lit(True), "outcome", *[F.when(consumed, F.col(held)).alias(name) for name, held in columns.items()])
+
+
 def rebuild(
     spark: SparkSession,
     params: BoardParams,
