@@ -9,7 +9,7 @@ from hopboard.functions.selecting import keep_where
 from hopboard.functions.text import with_normalized
 from hopboard.sources.storage import written
 
-# Changes are folded in runs of about this many rows, the most a task sorts for one word.
+# Changes are folded in runs of about this many rows, the most that a task sorts for one word.
 ROWS_PER_RUN = 1_000_000
 
 
@@ -55,13 +55,18 @@ def delete_words(table: DataFrame, words: DataFrame) -> DataFrame:
     return table.join(active_words(words), "word", "left_anti")
 
 
-def normalized_changes(changes: DataFrame) -> DataFrame:
-    """Change log (seq, op, word, changed_at) with norm_word, normalised once and kept in the shared folder."""
-    given = changes.select("seq", "op", "word", "changed_at")
-    return written(with_normalized(given, F.col("word"), "norm_word"), "changes")
+def normalized_changes(changes: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
+    """Change log (seq, op, word, changed_at) with norm_word and run, normalised once and kept in the shared folder.
+
+    The log is dealt into runs of about equal numbers of rows by ranges of seq, however seq is spread. The run
+    is written with each row: ranges are drawn from a sample, and readers must agree on them.
+    """
+    given = with_normalized(changes.select("seq", "op", "word", "changed_at"), F.col("word"), "norm_word")
+    runs = max(1, -(-changes.count() // rows_per_run))
+    return written(given.repartitionByRange(runs, "seq").withColumn("run", F.spark_partition_id()), "changes")
 
 
-def change_statuses(table: DataFrame, log: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
+def change_statuses(table: DataFrame, log: DataFrame) -> DataFrame:
     """Outcome of each change in a normalised log, applied in order of seq.
 
     `op` is add or remove. An add is `added`, or `conflict` if the word is there at that point; a
@@ -69,14 +74,12 @@ def change_statuses(table: DataFrame, log: DataFrame, rows_per_run: int = ROWS_P
     the text as stored, so a word stored unnormalised neither conflicts nor is removed. `echo` is
     the word as reported back: normalised for an add, as given for a remove.
 
-    Seq is unique. The log is cut by quantiles of seq into runs of about equal numbers of rows,
-    however seq is spread, so that no task sorts all changes of a word: the state at the start of a
-    run comes from one row for each earlier run. Invalid rows are dealt out by seq.
+    Seq is unique. No task sorts all changes of a word: a run leaves one row of state for each of its words,
+    and a scan over these gives the state that each later run starts from. Invalid rows are dealt out by seq.
     """
     marked = log.select(
         "*",
         (F.col("op") == "add").alias("is_add"),
-        _run_of(log, rows_per_run).alias("run"),
         F.coalesce("norm_word", F.concat(F.lit("\0"), F.pmod(F.xxhash64("seq"), F.lit(1024)).cast("string"))).alias("key"),
     )
     run_ends = marked.where("norm_word IS NOT NULL").groupBy("key", "run").agg(F.max_by("is_add", "seq").alias("is_add_last"))
@@ -123,11 +126,3 @@ def changed_table(table: DataFrame, log: DataFrame) -> DataFrame:
     kept = F.coalesce(never_removed, F.lit(False)) | F.coalesce("added", F.lit(False))
     return stored.join(state, "word", "full_outer").where(kept).select("word", created_at.alias("created_at"))
 
-
-def _run_of(log: DataFrame, rows_per_run: int) -> Column:
-    """Number of the run that a seq falls into, by as many quantiles as there are runs."""
-    runs = -(-log.count() // rows_per_run)
-    if runs < 2:
-        return F.lit(0)
-    cuts = log.agg(F.percentile_approx("seq", [i / runs for i in range(1, runs)], 100 * runs)).first()[0]
-    return F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]), lambda cut: cut < F.col("seq")))

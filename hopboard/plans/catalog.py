@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hopboard.functions.messages import decode_events, encode_event
 from hopboard.functions.text import normalize_query
-from hopboard.operators import bounds, counting, hopping, ingest, ranking, stoplist, upkeep
+from hopboard.operators import bounds, canonical, counting, hopping, ingest, ranking, stoplist, upkeep
 from hopboard.operators.pruning import before_window
 from hopboard.operators.sketch_replay import sketch_levels
 from hopboard.params import parse_top_limit
@@ -23,6 +23,7 @@ from hopboard.plans.sample import (
     messages,
     millis_of,
     odd_messages,
+    query_names,
     read_table,
     search_events,
     stopword_changes,
@@ -205,6 +206,17 @@ def top_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certain.select("rank", "query", "count", "low", "high", "in_top", "at_rank", enclosed.alias("enclosed"))
 
 
+def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name that each query of a table of names stands under in the end."""
+    return canonical.resolved_names(canonical.normalized_names(query_names(_history(spark, sf_dir))))
+
+
+def top_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board with queries counted under their canonical names."""
+    rows = counting.bucket_sources(window_rows(spark, sf_dir))
+    return ranking.top_as_of(canonical.canonical_rows(rows, canonical_names(spark, sf_dir)), PARAMS, AS_OF)
+
+
 def expired_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = before_window(_events(spark, sf_dir), PARAMS, AS_OF)
     rows = ingest.valid_events(search_events(old).where("well_formed"), PARAMS)
@@ -428,6 +440,8 @@ QUERIES: dict[str, Query] = {
     "hopping_top_approx": hopping_top_approx,
     "top_bounded": top_bounded,
     "top_certain": top_certain,
+    "canonical_names": canonical_names,
+    "top_canonical": top_canonical,
     "expired_buckets": expired_buckets,
     "stoplist_clean": stoplist_clean,
     "stoplist_list": stoplist_list,

@@ -66,6 +66,20 @@ _TOP = f"""{_CLASSIFIED},
 counts AS (SELECT query, count(DISTINCT source) AS count FROM consumed GROUP BY query),
 top AS (SELECT {_RANK} FROM counts QUALIFY rank <= 20)"""
 
+_NAMED = f"""{_CLASSIFIED},
+parts AS (
+  SELECT DISTINCT query, split_part(query, ' ', 1) AS kind, CAST(split_part(query, ' ', 2) AS INTEGER) AS k FROM history
+),
+names AS (
+  SELECT query, kind || ' ' || CAST(CASE kind WHEN 'view' THEN k - 1 WHEN 'error' THEN (k + 1) % 20 ELSE k // 10 * 10 END AS VARCHAR) AS canonical
+  FROM parts WHERE kind = 'view' AND k > 0 OR kind = 'error' OR kind = 'click' AND k % 10 <> 0
+),
+reach AS (
+  SELECT query, canonical FROM names
+  UNION SELECT reach.query, names.canonical FROM reach JOIN names ON names.query = reach.canonical
+),
+ends AS (SELECT query, canonical FROM reach WHERE canonical NOT IN (SELECT query FROM names))"""
+
 _STORED = f"""{_SEARCH},
 stored AS (SELECT query AS word, min(ts) AS created_at FROM search WHERE kind = 'error' GROUP BY query),
 active AS (SELECT DISTINCT norm AS word FROM (SELECT {_normalized('word')} AS norm FROM stored) WHERE norm IS NOT NULL),
@@ -199,6 +213,15 @@ SELECT rank, query, count, low, high,
     AND high < coalesce((SELECT min(low) FROM places AS last WHERE last.rank = places.rank - 1), 9223372036854775807) AS at_rank,
   TRUE AS enclosed
 FROM places WHERE rank <= 20""",
+    "canonical_names": f"""WITH RECURSIVE {_NAMED}
+SELECT query, coalesce(ends.canonical, query) AS canonical, ends.canonical IS NULL AS cyclic
+FROM names LEFT JOIN ends USING (query)""",
+    "top_canonical": f"""WITH RECURSIVE {_NAMED},
+counts AS (
+  SELECT coalesce(ends.canonical, consumed.query) AS query, count(DISTINCT source) AS count
+  FROM consumed LEFT JOIN ends ON ends.query = consumed.query GROUP BY 1
+)
+SELECT {_RANK} FROM counts QUALIFY rank <= 20""",
     "expired_buckets": f"""WITH {_CLASSIFIED}
 SELECT bucket_id, count(DISTINCT query) AS queries FROM history WHERE bucket_id < {_OLDEST} GROUP BY bucket_id""",
     "stoplist_clean": f"WITH {_STORED} SELECT word FROM active",

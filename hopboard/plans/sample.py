@@ -126,3 +126,18 @@ def stopword_changes(events: DataFrame) -> DataFrame:
     return search_events(events).select(
         F.col("id").alias("seq"), op.alias("op"), F.col("query").alias("word"), F.col("ts").alias("changed_at")
     )
+
+
+def query_names(rows: DataFrame) -> DataFrame:
+    """Names that queries stand under, as typed: a long chain, a circle, and one name for many.
+
+    Each view stands under the one before it, each error under the next one round, clicks under every tenth.
+    """
+    kind, number = F.split_part("query", F.lit(" "), F.lit(1)), F.split_part("query", F.lit(" "), F.lit(2)).cast("int")
+    target = (
+        F.when((kind == "view") & (number > 0), number - 1)
+        .when(kind == "error", (number + 1) % 20)
+        .when(kind == "click", F.floor(number / 10) * 10)
+    )
+    typed = F.concat(F.lit(" "), F.upper(kind), F.lit("  "), target.cast("string"))
+    return rows.select("query").distinct().select("query", typed.alias("canonical")).where("canonical IS NOT NULL")

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopboard.operators.stoplist import (
-    _run_of,
     active_words,
     change_statuses,
     changed_table,
@@ -63,7 +62,7 @@ def test_statuses_of_a_change_log(spark, run):
         spark, ("add", " SPAM "), ("add", "spam"), ("remove", "Spam"), ("add", "spam"),
         ("add", "ads"), ("remove", "absent"), ("add", "  "), ("remove", ""), ("add", "STORED RAW"),
     )
-    statuses = change_statuses(table_of(spark, "ads", " stored raw"), normalized_changes(log), run)
+    statuses = change_statuses(table_of(spark, "ads", " stored raw"), normalized_changes(log, run))
     assert statuses_of(statuses) == [
         "added", "conflict", "removed", "added", "conflict", "removed", "invalid", "invalid", "added",
     ]
@@ -100,18 +99,38 @@ def test_change_log_equals_folding_one_by_one(spark, run, power):
     ]
     base = {"hot": START, "z": START}
     table = spark.createDataFrame(list(base.items()), TABLE)
-    changes = normalized_changes(spark.createDataFrame(log, CHANGES))
-    statuses = change_statuses(table, changes, run)
+    changes = normalized_changes(spark.createDataFrame(log, CHANGES), run)
+    statuses = change_statuses(table, changes)
     expected_table, expected_statuses = fold(base, log)
     assert statuses_of(statuses) == expected_statuses
     got = {row["word"]: row["created_at"] for row in changed_table(table, changes).collect()}
     assert got == expected_table
 
 
-def test_runs_have_about_equal_numbers_of_rows(spark):
-    log = spark.range(1000).selectExpr("id * id * id AS seq")
-    sizes = [row["count"] for row in log.groupBy(_run_of(log, 100).alias("run")).count().collect()]
-    assert len(sizes) == 10 and max(sizes) <= 120
+def test_runs_are_ranges_of_about_equal_numbers_of_rows(spark):
+    log = spark.range(2000).selectExpr("id * id * id AS seq", "'add' AS op", "'hot' AS word", "TIMESTAMP'2024-01-01' AS changed_at")
+    runs = normalized_changes(log.repartition(7), 200).groupBy("run").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"))
+    rows = runs.orderBy("run").collect()
+    assert [row["run"] for row in rows] == list(range(10)) and max(row["n"] for row in rows) <= 400
+    assert all(before["b"] < after["a"] for before, after in zip(rows, rows[1:]))
+
+
+def test_a_hot_word_spans_runs_and_no_list_of_cuts_is_compared(spark):
+    """Two words change in turn all over the log; at each run's start the state comes from the runs before."""
+    log = [(seq, "add" if seq % 4 < 2 else "remove", ("hot", "rare")[seq % 97 == 0], START) for seq in range(1000)]
+    changes = normalized_changes(spark.createDataFrame(log, CHANGES), 50)
+    spans = changes.where("norm_word = 'hot'").select("run").distinct().count()
+    assert spans == 20
+    statuses = change_statuses(table_of(spark, "rare"), changes)
+    assert statuses_of(statuses) == fold({"rare": START}, log)[1]
+    plan = statuses._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(" not in plan and "lambda" not in plan
+
+
+def test_an_empty_log_changes_nothing(spark):
+    changes = normalized_changes(log_of(spark, ("add", "a")).limit(0))
+    assert change_statuses(table_of(spark, "a"), changes).collect() == []
+    assert words(changed_table(table_of(spark, "a"), changes)) == ["a"]
 
 
 def test_log_and_table_are_read_once(spark, tmp_path):
