@@ -24,6 +24,27 @@ _LAYOUT = (
 _PLAIN_LAYOUT = _LAYOUT.replace("TEXT", r'[^"\\\x00-\x1F]*+')
 _ESCAPED_LAYOUT = _LAYOUT.replace("TEXT", r'(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+')
 
+# Bytes that are no UTF-8 each stand for U+FFFD. Seen as characters of one byte, these are first bytes that
+# the right ones do not follow, and following ones that no right sequence leads to.
+_FIRST = {
+    r'[\xC2-\xDF]': [r'[\x80-\xBF]'],
+    r'\xE0': [r'[\xA0-\xBF]', r'[\x80-\xBF]'],
+    r'[\xE1-\xEC\xEE\xEF]': [r'[\x80-\xBF]', r'[\x80-\xBF]'],
+    r'\xED': [r'[\x80-\x9F]', r'[\x80-\xBF]'],
+    r'\xF0': [r'[\x90-\xBF]', r'[\x80-\xBF]', r'[\x80-\xBF]'],
+    r'[\xF1-\xF3]': [r'[\x80-\xBF]', r'[\x80-\xBF]', r'[\x80-\xBF]'],
+    r'\xF4': [r'[\x80-\x8F]', r'[\x80-\xBF]', r'[\x80-\xBF]'],
+}
+_BAD_FIRST = '|'.join([r'[\xC0\xC1\xF5-\xFF]', *[f"{first}(?!{''.join(rest)})" for first, rest in _FIRST.items()]])
+_GOOD_PLACE = '|'.join(
+    f"(?<={first}{''.join(rest[:i])}){''.join(rest[i:])}" for first, rest in _FIRST.items() for i in range(len(rest))
+)
+_BAD_BYTE = rf'(?:{_BAD_FIRST}|(?!{_GOOD_PLACE})[\x80-\xBF])'
+_VALID = rf"""
+CASE WHEN is_valid_utf8(_given) THEN _given ELSE
+  CAST(encode(regexp_replace(decode(CAST(_given AS BINARY), 'ISO-8859-1'), r'{_BAD_BYTE}', '{chr(0xEF)}{chr(0xBF)}{chr(0xBD)}'), 'ISO-8859-1') AS STRING)
+END"""
+
 # Escapes of surrogates without their other half stand for U+FFFD. Pairs of backslashes are set aside, so
 # that every backslash left starts an escape; the sign that holds their place is refused inside of texts.
 _WHOLE_TEXT = r"""
@@ -89,7 +110,8 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     # The pieces get a projection of their own, as they are used many times. So does the parser: it
     # would keep the cheap steps before it out of generated code.
     return (
-        messages.selectExpr(*columns, f"CAST(`{value}` AS STRING) AS _raw")
+        messages.selectExpr(*columns, f"CAST(`{value}` AS STRING) AS _given")
+        .selectExpr(*columns, f"{_VALID} AS _raw")
         .selectExpr(*columns, f"{_WHOLE_TEXT} AS _text")
         .selectExpr(*columns, "_text", f"{_CUT} AS _cut")
         .selectExpr(*columns, "_text", f"{_COMPACT_EVENT} AS _compact")

@@ -106,17 +106,18 @@ statuses AS (
 
 _ODD = f"""{_SEARCH},
 odd AS (
-  SELECT id, id % 20 AS oddity, kind, 'user-' || CAST(id AS VARCHAR) AS user_name, ts_ms FROM search
+  SELECT id, id % 21 AS oddity, kind, 'user-' || CAST(id AS VARCHAR) AS user_name, ts_ms FROM search
 ),
 decoded AS (
   SELECT id,
     oddity NOT IN (1, 5, 6, 7, 8, 9, 10, 12) AS well_formed,
-    CASE WHEN oddity = 2 THEN 'later' WHEN oddity IN (0, 3, 4, 11, 13, 15, 16, 17, 18, 19) THEN kind END AS query,
+    CASE WHEN oddity = 2 THEN 'later' WHEN oddity IN (0, 3, 4, 11, 13, 15, 16, 17, 18, 19, 20) THEN kind END AS query,
     CASE WHEN oddity = 13 THEN 'user' || chr(9) || CAST(id AS VARCHAR)
          WHEN oddity = 18 THEN chr(65533) || 'x' || chr(65533) || chr(128512) || '-' || CAST(id AS VARCHAR)
+         WHEN oddity = 20 THEN 'u' || chr(65533) || chr(65533) || 'b' || CAST(id AS VARCHAR)
          WHEN oddity = 19 THEN chr(92) || 'ud800-' || CAST(id AS VARCHAR)
          WHEN oddity IN (0, 2, 3, 4, 11, 15, 16, 17) THEN user_name END AS source,
-    CASE WHEN oddity IN (0, 2, 3, 4, 11, 13, 15, 16, 17, 18, 19) THEN ts_ms END AS ts_ms,
+    CASE WHEN oddity IN (0, 2, 3, 4, 11, 13, 15, 16, 17, 18, 19, 20) THEN ts_ms END AS ts_ms,
     CAST(NULL AS VARCHAR) AS event_id
   FROM odd
 )"""

@@ -66,9 +66,9 @@ def messages(table: DataFrame) -> DataFrame:
 
 
 def odd_messages(table: DataFrame) -> DataFrame:
-    """JSON texts that test the strictness of decoding, one kind of oddity for each remainder by 20."""
+    """JSON texts that test the strictness of decoding, one kind of oddity for each remainder by 21."""
     event = search_events(table)
-    kind = F.col("id") % 20
+    kind = F.col("id") % 21
     text = F.concat
     query = F.concat(F.lit('"query":"'), F.col("kind"), F.lit('"'))
     source = F.concat(F.lit(',"source":"user-'), F.col("id").cast("string"), F.lit('"'))
@@ -98,6 +98,7 @@ def odd_messages(table: DataFrame) -> DataFrame:
         .when(kind == 17, with_more(',"extra":[{"a":1,"a":{"b":2,"b":3}}]'))
         .when(kind == 18, F.replace(plain, F.lit("user-"), F.lit("\\ud800x\\udc00\\ud83d\\ude00-")))
         .when(kind == 19, F.replace(plain, F.lit("user-"), F.lit("\\\\ud800-")))
+        .when(kind == 20, F.replace(plain, F.lit("user-"), F.unhex(F.lit("75E28262")).cast("string")))
         .otherwise(F.replace(plain, F.lit(","), F.lit(" ,\n")))
     )
     return event.select("id", value.alias("value"))

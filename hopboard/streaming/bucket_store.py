@@ -29,6 +29,8 @@ from hopboard.sources.storage import age_seconds, create_marker, delete_tree, ma
 
 # Fixed value: file that marks a batch as folded into another. Spark does not read names with this first letter.
 _FOLDED = "_FOLDED"
+# Level of what a closed bucket is folded into, above those of any open one.
+_CLOSED = 98
 
 
 class BucketStore:
@@ -44,11 +46,16 @@ class BucketStore:
         """Rows of the buckets from oldest to current; no rows where none of them has been written."""
         return self._rows(spark, [f"{self.path}/bucket_id={{{','.join(map(str, range(oldest, current + 1)))}}}"])
 
-    def compact(self, spark: SparkSession, oldest: int, newest: int, grace_seconds: float = 600.0) -> int:
-        """Fold the batches of each bucket from oldest to newest into one; returns the number of batches folded.
+    def compact(
+        self, spark: SparkSession, oldest: int, newest: int, grace_seconds: float = 600.0, open_from: int | None = None, fan: int = 10
+    ) -> int:
+        """Fold batches of each bucket from oldest to newest; returns the number of batches folded.
 
-        Meant for buckets that hardly change any more. Batches that come later are folded by the next
-        call, which also deletes those folded longer ago than the grace period.
+        Buckets before `open_from` (all, if it is not given) hardly change any more: each is folded into one batch. In
+        the others a batch has a level, 0 as it comes in, and `fan` batches of a level are folded into one of the
+        next, so that an open bucket holds few batches at any time and each row is written about once a level.
+        Batches that come later are folded by the next call, which also deletes those folded longer ago than
+        the grace period.
         """
         marked = set()
         for marker in matching_paths(spark, f"{self.path}/bucket_id=*/batch=*/{_FOLDED}"):
@@ -56,16 +63,21 @@ class BucketStore:
             marked.add(folder)
             if oldest <= _bucket_of(folder) <= newest and age_seconds(spark, marker) >= grace_seconds:
                 delete_tree(spark, folder)
-        batches: dict[int, list[str]] = {}
+        batches: dict[tuple[int, int], list[str]] = {}
         for folder in matching_paths(spark, f"{self.path}/bucket_id=*/batch=*"):
-            if folder not in marked and oldest <= _bucket_of(folder) <= newest:
-                batches.setdefault(_bucket_of(folder), []).append(folder)
-        folding = [folder for folders in batches.values() if len(folders) > 1 for folder in folders]
-        if folding:
-            self._store(merged_rows(self._rows(spark, folding)), f"compacted-{uuid4().hex}")
-            for folder in folding:
+            bucket = _bucket_of(folder)
+            if folder not in marked and oldest <= bucket <= newest:
+                is_open = open_from is not None and bucket >= open_from
+                batches.setdefault((bucket, _level_of(folder) if is_open else _CLOSED), []).append(folder)
+        folding: dict[int, list[str]] = {}
+        for (_, level), folders in batches.items():
+            if len(folders) >= (2 if level == _CLOSED else fan):
+                folding.setdefault(level, []).extend(folders)
+        for level, folders in folding.items():
+            self._store(merged_rows(self._rows(spark, folders)), f"compacted-{level + 1}-{uuid4().hex}")
+            for folder in folders:
                 create_marker(spark, f"{folder}/{_FOLDED}")
-        return len(folding)
+        return sum(map(len, folding.values()))
 
     def drop_before(self, spark: SparkSession, bucket_id: int) -> int:
         """Delete the buckets before this one and return how many there were."""
@@ -99,5 +111,10 @@ class BucketStore:
         return stored.drop("batch")
 
 
+def _level_of(path: str) -> int:
+    name = path.split("/batch=", 1)[1]
+    return int(name.split("-")[1]) if name.startswith("compacted-") else 0
+
+
 def _bucket_of(path: str) -> int:
     return int(path.split("bucket_id=", 1)[1].split("/", 1)[0])

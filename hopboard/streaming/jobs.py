@@ -114,21 +114,19 @@ def start_rebuilding(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     keep_boards: int = 100,
     spare_buckets: int | None = None,
-    compact_every: int = 60,
     on_gauges: Gauges | None = None,
 ) -> StreamingQuery:
     """Rebuild the board again and again, whether or not events come in.
 
     Buckets are deleted once they are as far behind the window as `spare_buckets` says, which
     defaults to the length of the window, so that none is deleted that a batch still writes to.
-    Boards are deleted but for the newest `keep_boards`; a reader of an older one would fail. Every
-    `compact_every` ticks the batches of all closed buckets of the window are folded (0: never).
+    Boards are deleted but for the newest `keep_boards`; a reader of an older one would fail.
     `on_gauges` is called after every tick with the size of the board and of the stop-list and the
     seconds that the rebuild took.
     """
     spare = params.bucket_count if spare_buckets is None else spare_buckets
 
-    def on_tick(_: DataFrame, tick: int) -> None:
+    def on_tick(_: DataFrame, __: int) -> None:
         as_of, started = clock(), time.monotonic()
         oldest, current = params.live_range(as_of)
         rebuild(spark, params, buckets, boards, as_of, stoplist, ban)
@@ -141,10 +139,35 @@ def start_rebuilding(
                 "rebuild_seconds": seconds,
             })
         buckets.drop_before(spark, oldest - spare)
-        if compact_every and tick % compact_every == compact_every - 1:
-            buckets.compact(spark, oldest, current - 1)
         boards.keep_newest(spark, keep_boards)
 
+    return _every(spark, interval, on_tick, checkpoint)
+
+
+def start_compacting(
+    spark: SparkSession,
+    params: BoardParams,
+    buckets: BucketStore,
+    checkpoint: str,
+    interval: str = "1 minute",
+    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    grace_seconds: float = 600.0,
+) -> StreamingQuery:
+    """Fold the batches of all buckets of the window again and again, beside the rebuilding job and not within it.
+
+    The current bucket is folded by levels, those before it into one batch each. The grace period must be longer
+    than a rebuild takes. One such job at a time.
+    """
+
+    def on_tick(_: DataFrame, __: int) -> None:
+        oldest, current = params.live_range(clock())
+        buckets.compact(spark, oldest, current, grace_seconds, open_from=current)
+
+    return _every(spark, interval, on_tick, checkpoint)
+
+
+def _every(spark: SparkSession, interval: str, on_tick: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """A query that does something on a clock, whether or not events come in."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
     writer = ticks.writeStream.foreachBatch(on_tick).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=interval).start()

@@ -4,7 +4,9 @@ A version is a folder of its own that counts once Spark has marked it complete,
 older version is not disturbed and a failed change leaves the list as it was. Versions are numbered and
 claimed before they are written: of two writers that start from the same version one fails instead of
 undoing the other's change. A failed writer gives its claim back; the claim of one that died counts as
-given back after `stale_seconds`.
+given back after `stale_seconds`, which must be longer than any change takes: a writer that is slower still would
+share its folder with the next one. Claims need a file system that creates a file only where there is none, as
+HDFS and local disks do; on object stores without that, run one writer.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ class StoplistStore:
         return change_statuses(before, log)
 
     def keep_newest(self, count: int) -> int:
-        """Delete all but the newest versions, and what failed changes before them have left."""
+        """Delete all but the newest versions, and claims and what failed changes have left before them."""
         if count < 1:
             raise ValueError("at least one version must be kept")
         versions = self._versions()
@@ -84,7 +86,8 @@ class StoplistStore:
             return 0
         first_kept = versions[-count].rsplit("=", 1)[1]
         old = [p for p in matching_paths(self.spark, f"{self.path}/version=*") if p.rsplit("=", 1)[1] < first_kept]
-        for path in old:
+        claims = [p for p in matching_paths(self.spark, f"{self.path}/claim=*") if p.rsplit("=", 1)[1] < first_kept]
+        for path in old + claims:
             delete_tree(self.spark, path)
         return len(old)
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -147,3 +148,31 @@ def test_result_does_not_depend_on_session_settings(spark):
     value = '{"query":"q","source":"s","ts_ms":1704067200000,"extra":{"a":1,"a":[{"b":1,"b":2}]}}'
     row = decode_events(plain.createDataFrame([(value,)], "value STRING")).first()
     assert row["well_formed"] and row["query"] == "q"
+
+
+def by_byte(raw):
+    """Text in which each byte that is not part of UTF-8 stands for U+FFFD."""
+    out, at = [], 0
+    while at < len(raw):
+        for size in (1, 2, 3, 4):
+            try:
+                out.append(raw[at : at + size].decode())
+                at += size
+                break
+            except UnicodeDecodeError:
+                continue
+        else:
+            out.append("\ufffd")
+            at += 1
+    return "".join(out)
+
+
+def test_each_bad_byte_stands_for_one_sign(spark):
+    draw = random.Random(4)
+    parts = [b"a", b"\xc3\xa9", b"\xe2\x82\xac", b"\xf0\x9f\x98\x80", b"\xe2\x82", b"\xf0\x9f\x98", b"\xc3", b"\x80", b"\xbf", b"\xc0\xaf"]
+    parts += [b"\xed\xa0\x80", b"\xe0\x80\x80", b"\xf4\x90\x80\x80", b"\xff", b"\xf1", b"\xe1\x80", b"\xed\x9f\xbf", b"\xf4\x8f\xbf\xbf"]
+    queries = [b"".join(draw.choice(parts) for _ in range(draw.randrange(1, 12))) for _ in range(400)] + parts + [b"\xe2\x82" * 20_000]
+    rows = [(i, b'{"query":"' + query + b'","source":"s","ts_ms":1}') for i, query in enumerate(queries)]
+    frame = spark.createDataFrame(rows, "i int, value binary")
+    got = {row["i"]: row["query"] for row in decode_events(frame).select("i", "query").collect()}
+    assert got == {i: by_byte(query) for i, query in enumerate(queries)}

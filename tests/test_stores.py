@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from hopboard.operators.ranking import top_as_of
 from hopboard.params import BoardParams
-from hopboard.sources.storage import create_marker
+from hopboard.sources.storage import create_marker, matching_paths
 from hopboard.streaming.bucket_store import BucketStore
-from hopboard.streaming.jobs import rebuild, start_rebuilding
+from hopboard.streaming.jobs import rebuild, start_compacting, start_rebuilding
 from hopboard.streaming.snapshot_store import SnapshotStore
 from hopboard.streaming.stoplist_store import StoplistStore
 
@@ -110,14 +110,45 @@ def test_unfinished_boards_go_with_the_old_ones(spark, store, tmp_path):
     assert len(list((tmp_path / "boards").glob("generated_micros=*"))) == 3 and newest.exists()
 
 
-def test_ticks_report_gauges_and_compact(spark, store, tmp_path):
+def test_open_buckets_are_folded_by_levels(spark, store, tmp_path):
+    """Three batches of a level make one of the next; closed buckets become one batch each."""
+    held, newest = {}, OLDEST + 2
+    for batch in range(1, 11):
+        store.write(rows(spark, batch), f"b{batch:02d}")
+        before = board(spark, store)
+        store.compact(spark, OLDEST, CURRENT, 0, open_from=newest, fan=3)
+        store.compact(spark, OLDEST, CURRENT, 0, open_from=newest, fan=99)
+        assert board(spark, store) == before
+        held[batch] = files(tmp_path)
+    assert all(held[batch][bucket] == 1 for batch in held for bucket in (OLDEST, OLDEST + 1))
+    # At most two batches of each of the levels of one, three and nine.
+    assert max(held[batch][newest] for batch in held) <= 6
+    store.compact(spark, OLDEST, CURRENT, 0)
+    store.compact(spark, OLDEST, CURRENT, 0)
+    assert files(tmp_path)[newest] == 1 and board(spark, store) == before
+
+
+def test_compaction_runs_on_a_clock_of_its_own(spark, store, tmp_path):
+    for batch in range(12):
+        store.write(rows(spark, batch + 1), f"b{batch}")
+    before = board(spark, store)
+    query = start_compacting(spark, store.params, store, str(tmp_path / "checkpoint"), "200 milliseconds", lambda: NOW, 0)
+    try:
+        while query.isActive and set(files(tmp_path).values()) != {1}:
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    assert query.exception() is None and board(spark, store) == before
+
+
+def test_ticks_report_gauges(spark, store, tmp_path):
     for batch in (1, 2):
         store.write(rows(spark, batch), f"b{batch}")
     boards, seen = SnapshotStore(str(tmp_path / "boards"), store.params), []
     words = spark.createDataFrame([("q1",)], "word STRING")
     query = start_rebuilding(
         spark, store.params, store, boards, str(tmp_path / "checkpoint"), "200 milliseconds", lambda: words,
-        clock=lambda: NOW, compact_every=1, on_gauges=seen.append,
+        clock=lambda: NOW, on_gauges=seen.append,
     )
     try:
         while len(seen) < 2 and query.isActive:
@@ -125,7 +156,6 @@ def test_ticks_report_gauges_and_compact(spark, store, tmp_path):
     finally:
         query.stop()
     assert seen[0]["snapshot_size"] == 4 and seen[0]["stoplist_words"] == 1 and seen[0]["rebuild_seconds"] > 0
-    assert list((tmp_path / "buckets").glob("bucket_id=*/batch=compacted-*"))
 
 
 @pytest.fixture
@@ -195,3 +225,6 @@ def test_old_versions_are_deleted(spark, words):
     for text in "abc":
         words.add(frame(spark, text))
     assert words.keep_newest(1) == 2 and words.keep_newest(1) == 0 and listed(words) == ["a", "b", "c"]
+    assert len(matching_paths(spark, f"{words.path}/claim=*")) == 1
+    words.add(frame(spark, "d"))
+    assert listed(words) == ["a", "b", "c", "d"]
