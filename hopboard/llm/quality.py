@@ -4,8 +4,7 @@ Trusted positives are documents labelled 1 in the training part; the documents a
 labels, are the unlabelled web text, for which the class prior holds. A linear model with logistic loss minimises
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]),
 the unbiased risk with its part for the negatives kept from falling below zero: where it would, that
-part is left out. The prior is the share of positives among all labelled training documents,
-or without negatives the share that a model of labelled against unlabelled text suggests.
+part is left out. The prior is estimated from both kinds of text; labels 0 are not used.
 
 A document is described by the frequencies of pairs of character classes, repetition of words and lines,
 and its length, over its whole text. The model is fitted on at most SAMPLE positives and SAMPLE unlabelled
@@ -13,7 +12,7 @@ documents, those with the smallest hashes of their ids; all documents are scored
 
 Defined cases: null and empty texts have zero frequencies and get a score like any other. A document with
 several labels counts as positive if one is 1. Labels without id or value are ignored. Without trusted
-positives or unlabelled text every score is the prior (0.5 if unknown). Repeated rows get equal scores.
+positives or unlabelled text every score is 0.5. Repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -114,7 +113,7 @@ def constant_model(score: float) -> Model:
     return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(score / (1 - score))))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = STEPS) -> Model:
     """Model with the least non-negative risk, by gradient steps on all rows with estimates of momentum."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     model = Model(both.mean(axis=0), both.std(axis=0) + 1e-3, np.zeros(both.shape[1]), 0.0)
@@ -136,13 +135,29 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps
 
 
 def _prior_from_unlabelled(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives in unlabelled text: how dense it is, against the positives, where these usually lie."""
-    rows, labels = np.concatenate([p, u]), np.r_[np.ones(len(p)), np.zeros(len(u))]
-    w = np.zeros(rows.shape[1])
-    for _ in range(200):
-        w -= 0.5 * rows.T @ (sigmoid(rows @ w) - labels) / len(rows)
-    chance = sigmoid(p @ w).clip(1e-6, 1 - 1e-6)
-    return float(np.clip(np.median((1 - chance) / chance) * len(p) / len(u), 0.05, 0.95))
+    """Share of positives in unlabelled text, from the part of it that looks most like positives.
+
+    A model of labelled against unlabelled text gives every row a score, each half by the model of the other. Above
+    any score lie a share of the unlabelled text and a share of the positives, whose ratio is the prior plus what
+    negatives add there. The score with the least ratio, allowing for chance, is taken, and one standard error
+    less: with a prior too high the negatives' part of the risk vanishes and all is called positive, while one
+    a little low does no harm.
+    """
+    of_p, of_u = np.zeros(len(p)), np.zeros(len(u))
+    for half in (0, 1):
+        rows = np.concatenate([p[1 - half :: 2], u[1 - half :: 2]])
+        labels = np.r_[np.ones(len(p[1 - half :: 2])), np.zeros(len(u[1 - half :: 2]))]
+        w = np.zeros(rows.shape[1])
+        for _ in range(200 if len(rows) else 0):
+            w -= 0.5 * rows.T @ (sigmoid(rows @ w) - labels) / len(rows)
+        of_p[half::2], of_u[half::2] = p[half::2] @ w, u[half::2] @ w
+    cuts = np.quantile(of_p, np.linspace(0, 0.95, 39))
+    in_p = (of_p[None, :] >= cuts[:, None]).mean(axis=1)
+    in_u = (of_u[None, :] >= cuts[:, None]).mean(axis=1)
+    chance = np.sqrt(2 / len(p)) + np.sqrt(2 / len(u))
+    best = ((in_u + chance) / in_p).argmin()
+    error = np.sqrt(in_u[best] * (1 - in_u[best]) / len(u)) / in_p[best]
+    return float(np.clip(in_u[best] / in_p[best] - error, 0.05, 0.95))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -150,9 +165,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     trusted = (
         labels.where(in_training("doc_id") & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     )
-    counts = {row["quality"]: row["n"] for row in trusted.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_positive, n_negative = counts.get(1, 0), counts.get(0, 0)
-    prior = (n_positive + 1) / (n_positive + n_negative + 2) if n_positive and n_negative else None
     picked = _picked(docs, trusted, sample)
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
@@ -164,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by_kind = {kind: [bytes(row["features"]) for row in rows if row["kind"] == kind] for kind in ("positive", "unlabelled")}
     matrix = {kind: np.frombuffer(b"".join(values), np.float32).reshape(-1, FEATURES) for kind, values in by_kind.items()}
     if not len(matrix["positive"]) or not len(matrix["unlabelled"]):
-        return constant_model(0.5 if prior is None else prior)
-    return fit(matrix["positive"], matrix["unlabelled"], prior)
+        return constant_model(0.5)
+    return fit(matrix["positive"], matrix["unlabelled"])
 
 
 def _picked(docs: DataFrame, trusted: DataFrame, sample: int) -> DataFrame:

@@ -22,17 +22,51 @@ def sample():
     return good[:2000], mixed, good[:500], bad[500:]
 
 
-@pytest.mark.parametrize("prior", [0.8, None])
+@pytest.mark.parametrize("prior", [0.7, 0.75, 0.8, None])
 def test_negatives_are_told_apart_without_negative_labels(sample, prior):
     positive, unlabelled, good, bad = sample
     model = quality.fit(positive, unlabelled, prior)
     assert (model.scores(good) >= 0.5).mean() > 0.97 and (model.scores(bad) < 0.5).mean() > 0.9
 
 
-def test_prior_from_unlabelled_text(sample):
-    positive, unlabelled, _, _ = sample
-    rows = [np.c_[x, np.ones(len(x))] for x in (positive, unlabelled)]
-    assert quality._prior_from_unlabelled(*rows) == pytest.approx(0.8, abs=0.1)
+@pytest.mark.parametrize("gap, share", [(0.6, 0.5), (0.6, 0.8), (1.0, 0.3), (1.0, 0.8), (1.5, 0.9), (1.5, 0.2)])
+def test_prior_from_unlabelled_text(gap, share):
+    """Also where negatives overlap with positives, and hardly ever too high."""
+    random = np.random.default_rng(7)
+    draw = lambda mean, n: np.c_[random.normal(mean, 1, (n, 5)), np.ones(n)]
+    n = int(4000 * share)
+    estimate = quality._prior_from_unlabelled(draw(gap, 4000), np.concatenate([draw(gap, n), draw(-gap, 4000 - n)]))
+    assert share - 0.05 < estimate < share + 0.03
+
+
+def test_fit_reaches_the_least_risk():
+    """Against a numeric search over all lines through two features, from many starts."""
+    random = np.random.default_rng(9)
+    positive = random.normal(0.7, 1, (300, 2))
+    unlabelled = np.concatenate([random.normal(0.7, 1, (180, 2)), random.normal(-0.7, 1, (120, 2))])
+    model = quality.fit(positive, unlabelled, 0.6, 3000)
+    p, u = ((rows - model.mean) / model.spread for rows in (positive, unlabelled))
+
+    def risk(w):
+        loss = lambda rows, sign: np.logaddexp(0, -sign * (rows @ w[:2] + w[2])).mean()
+        return 0.6 * loss(p, 1) + max(0.0, loss(u, -1) - 0.6 * loss(p, -1)) + 0.5 * quality.DECAY * (w @ w)
+
+    best = min((np.array(start, float) for start in np.ndindex(5, 5, 5)), key=lambda w: risk(w - 2)) - 2
+    step = 0.5
+    while step > 1e-4:
+        moves = [best + step * np.array(d) for d in np.ndindex(3, 3, 3)]
+        moves = [m - step for m in moves]
+        nearest = min(moves, key=risk)
+        best, step = (nearest, step) if risk(nearest) < risk(best) - 1e-9 else (best, step / 2)
+    assert risk(np.r_[model.weights, model.bias]) <= risk(best) + 2e-3
+
+
+def test_negative_labels_are_not_used(spark, docs):
+    frame = docs(["good words here"] * 12 + ["BAD!! BAD!!"] * 12)
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    some = [(i, 1) for i in range(12)]
+    weights = quality.train(frame, table(some)).weights
+    assert weights.any() and np.array_equal(weights, quality.train(frame, table(some + [(i, 0) for i in range(12, 24)])).weights)
 
 
 ODD = [None, "", " ", "\n\n", "ä", "x" * 200_000, "WORD!! " * 50, "fine words in a line"]
