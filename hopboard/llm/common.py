@@ -92,8 +92,8 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(differs) + 1
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows joined with the facts on their key; `facts` is a written table with the `count` of rows of each key.
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Rows joined (inner or left) with the facts on their key; `facts` is a written table with the `count` of rows of each key.
 
     A key may hold any share of the rows. No more than HEAVY keys can each have a share of 1 / HEAVY; the facts
     on these are sent to all tasks, so that only the rows of other keys are brought together by key.
@@ -102,7 +102,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataF
     heavy = F.col(count) * HEAVY >= total
     hot = F.broadcast(facts.where(heavy))
     rest = rows.join(hot.select(key), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(facts.where(~heavy), key))
+    return rows.join(hot, key).unionByName(rest.join(facts.where(~heavy), key, how))
 
 
 def components(edges: DataFrame) -> DataFrame:

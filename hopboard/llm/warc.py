@@ -4,16 +4,17 @@ Reading plans partitions of whole files, small ones together up to `maxPartition
 the headers are parsed first. Filters on the record type and on headers are evaluated there, and the
 payload is only decoded for records that pass, or not at all with the option `payload` set to false.
 Archives of this writer hold one gzip member per record with its length in an `sl` extra field, so that
-a record that is not wanted is skipped without inflating it. Members of other writers have no such field
-and are inflated to find their end, without being kept. Plain `.warc` files are skipped by Content-Length.
+a record that is not wanted is skipped without inflating it. Members of other writers may have no such field
+or hold several records; they are inflated to their end, unwanted records without being kept. Plain `.warc` files are skipped by Content-Length.
 
 Writing goes through a file per task attempt, with a new name. The files count once the driver has written
 a manifest that lists those of the attempts that succeeded; a folder without manifest is read whole.
 Paths are opened by pyarrow's file systems (local, HDFS, S3, GCS), not through the driver.
 
 Defined cases: a null payload is empty; null headers are left out and read as null; line breaks in header
-values are percent-encoded. A revisit record holds no payload. Empty input gives an empty archive. Broken
-records raise with file and offset.
+values are percent-encoded. A revisit record holds no payload. A response without end of its HTTP headers is payload
+as a whole. Empty input gives an empty archive. Broken and cut-off records, and bytes that are no record, raise with
+file and offset.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from hopboard.llm.common import with_facts, written
+
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, content_type string, content_length bigint, "
     "payload_length bigint, payload_digest string, refers_to string, payload binary, file string, offset bigint"
@@ -69,6 +72,7 @@ HEADERS = {
 }
 NUMBERS = ("content_length", "payload_length")
 PARTITION_BYTES = 128 << 20
+SMALLEST_PARTITION = 4 << 20
 FILE_BYTES = 512 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -208,55 +212,61 @@ class Input:
 
 
 class Member:
-    """One gzip member, inflated as far as it is asked for."""
+    """One gzip member, inflated as far as it is asked for; what has been read is dropped."""
 
     def __init__(self, source: Input, at: int):
         self.source, self.at, self.next = source, at, at
-        self.inflate, self.data = zlib.decompressobj(31), b""
+        self.inflate, self.data, self.used = zlib.decompressobj(31), b"", 0
+        head = source.peek(65_549, at)
+        if head[:3] != b"\x1f\x8b\x08":
+            raise ValueError("not a gzip member")
+        self.packed, self.unpacked = _lengths(head)
 
-    def upto(self, mark: bytes) -> int:
-        """End of the first mark."""
+    def head(self) -> bytes:
+        """Up to the next empty line, which is left out."""
         searched = 0
-        while (found := self.data.find(mark, max(0, searched - len(mark)))) < 0:
+        while (found := self.data.find(_EMPTY_LINE, max(0, searched - len(_EMPTY_LINE)))) < 0:
             searched = len(self.data)
             if not self._more(4096):
                 raise ValueError("record without end of headers")
-        return found + len(mark)
-
-    def whole(self) -> bytes:
-        parts = [self.data]
-        while piece := self._piece(1 << 20):
-            parts.append(piece)
-        self.data = b"".join(parts)
-        return self.data
+        return self._take(found + len(_EMPTY_LINE))[:found]
+
+    def block(self, n: int, wanted: bool) -> bytes:
+        """The next n bytes, or none of them if they are not wanted."""
+        parts = []
+        while n:
+            if not self.data and not self._more(1 << 20):
+                raise ValueError("truncated record")
+            piece = self._take(min(n, len(self.data)))
+            n -= len(piece)
+            if wanted:
+                parts.append(piece)
+        return b"".join(parts)
+
+    def is_last(self, length: int) -> bool:
+        """Whether a record with a block of this length, not read yet, ends the member by the length in its header."""
+        return bool(self.packed) and self.used + length + 4 == self.unpacked
+
+    def skip_line_ends(self) -> bool:
+        """Skip line ends after a record; whether anything follows."""
+        while True:
+            kept = self.data.lstrip(b"\r\n")
+            self._take(len(self.data) - len(kept))
+            if self.data:
+                return True
+            if not self._more(4096):
+                return False
 
     def end(self) -> int:
-        """Where the next member starts, by the length in the header or else by inflating what is left."""
-        head = self.source_head
-        if head[3] & 4:
-            size = struct.unpack_from("<H", head, 10)[0]
-            extra, at = head[12 : 12 + size], 0
-            while at + 4 <= len(extra):
-                length = struct.unpack_from("<H", extra, at + 2)[0]
-                if extra[at : at + 2] == b"sl" and length == 8 and (total := struct.unpack_from("<I", extra, at + 4)[0]):
-                    return self.at + total
-                at += 4 + length
-        while self._piece(1 << 20):
-            pass
-        return self.next - len(self.inflate.unused_data)
-
-    def open(self) -> Member:
-        self.source_head = self.source.peek(65_549, self.at)
-        if self.source_head[:3] != b"\x1f\x8b\x08":
-            raise ValueError("not a gzip member")
-        return self
+        """Where the next member starts, once this one is read or known to be at its last record."""
+        return self.next - len(self.inflate.unused_data) if self.inflate.eof else self.at + self.packed
 
-    def _more(self, n: int) -> bool:
-        piece = self._piece(n)
-        self.data += piece
-        return bool(piece)
+    def _take(self, n: int) -> bytes:
+        taken, self.data = self.data[:n], self.data[n:]
+        self.used += n
+        return taken
 
-    def _piece(self, n: int) -> bytes:
+    def _more(self, n: int) -> bool:
         while not self.inflate.eof:
             fed = self.inflate.unconsumed_tail
             if not fed:
@@ -265,8 +275,26 @@ class Member:
                 if not fed:
                     raise ValueError("truncated member")
             if piece := self.inflate.decompress(fed, n):
-                return piece
-        return b""
+                self.data += piece
+                return True
+        return False
+
+
+# Fixed value: what ends the headers of a record.
+_EMPTY_LINE = b"\r\n\r\n"
+
+
+def _lengths(head: bytes) -> tuple[int, int]:
+    """Length of a gzip member and of what is in it, by its `sl` field; 0 and 0 if it has none."""
+    if head[3] & 4:
+        size = struct.unpack_from("<H", head, 10)[0]
+        extra, at = head[12 : 12 + size], 0
+        while at + 4 <= len(extra):
+            length = struct.unpack_from("<H", extra, at + 2)[0]
+            if extra[at : at + 2] == b"sl" and length == 8 and at + 12 <= len(extra):
+                return struct.unpack_from("<II", extra, at + 4)
+            at += 4 + length
+    return 0, 0
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -294,45 +322,69 @@ def payload_of(kind: str | None, block: bytes) -> bytes | None:
     if kind == "revisit":
         return None
     if kind == "response" and block.startswith(b"HTTP/"):
-        return block[block.find(b"\r\n\r\n") + 4 :]
+        head, end, payload = block.partition(_EMPTY_LINE)
+        return payload if end else head
     return block
 
 
 def read_file(location: str, tests: list, with_payload: bool) -> Iterator[dict]:
-    """Records of one file that pass all tests on their header columns."""
+    """Records of one file that pass all tests on their header columns.
+
+    `offset` is the place of the record, or of the gzip member that it is in.
+    """
     system, path = file_system(location)
     with system.open_input_file(path) as opened:
         source, at = Input(opened), 0
         packed = source.peek(2, 0) == b"\x1f\x8b"
+
+        def wanted(values: dict) -> bool:
+            return all(test(values) for test in tests)
+
         while at < source.size:
             try:
-                values, block, after = (_gzip_record if packed else _plain_record)(source, at)
-                wanted = all(test(values) for test in tests)
-                payload = payload_of(values["record_type"], block()) if wanted and with_payload else None
-                following = after()
+                if packed:
+                    member = Member(source, at)
+                    for values, block in _in_member(member, wanted, with_payload):
+                        yield {**values, "payload": block, "file": location, "offset": at}
+                    at = member.end()
+                else:
+                    values, block, following = _plain_record(source, at, wanted, with_payload)
+                    if values is not None:
+                        yield {**values, "payload": block, "file": location, "offset": at}
+                    at = following
             except (ValueError, zlib.error, struct.error) as error:
                 raise ValueError(f"{location} at {at}: {error}") from error
-            if wanted:
-                yield {**values, "payload": payload, "file": location, "offset": at}
-            at = following
 
 
-def _gzip_record(source: Input, at: int):
-    record = Member(source, at).open()
-    body = record.upto(b"\r\n\r\n")
-    values = record_columns(parse_headers(record.data[: body - 4]))
-    return values, lambda: record.whole()[body : body + (values["content_length"] or 0)], record.end
+def _in_member(member: Member, wanted, with_payload: bool) -> Iterator[tuple[dict, bytes | None]]:
+    """Wanted records of a gzip member, of which there may be any number; its end is reached or known afterwards."""
+    while member.skip_line_ends():
+        values = record_columns(parse_headers(member.head()))
+        length, needed = values["content_length"] or 0, wanted(values)
+        decoded = needed and with_payload and values["record_type"] != "revisit"
+        if not decoded and member.is_last(length):
+            if needed:
+                yield values, None
+            return
+        block = member.block(length, decoded)
+        if needed:
+            yield values, payload_of(values["record_type"], block) if decoded else None
 
 
-def _plain_record(source: Input, at: int):
+def _plain_record(source: Input, at: int, wanted, with_payload: bool) -> tuple[dict | None, bytes | None, int]:
+    """Columns of a record, None if it is not wanted, its payload, and where the next one starts."""
     size = 4096
-    while (found := (head := source.peek(size, at)).find(b"\r\n\r\n")) < 0:
+    while (found := (head := source.peek(size, at)).find(_EMPTY_LINE)) < 0:
         if len(head) < size:
             raise ValueError("record without end of headers")
         size *= 2
     values = record_columns(parse_headers(head[:found]))
     body, length = at + found + 4, values["content_length"] or 0
-    return values, lambda: source.peek(length, body), lambda: body + length + 4
+    if body + length > source.size:
+        raise ValueError("truncated record")
+    if not wanted(values):
+        return None, None, body + length + 4
+    return values, payload_of(values["record_type"], source.peek(length, body)) if with_payload else None, body + length + 4
 
 
 _COMPARISONS = {
@@ -388,8 +440,8 @@ def header_test(item: Filter) -> HeaderTest | None:
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, location: str, with_payload: bool, partition_bytes: int):
-        self.location, self.with_payload, self.partition_bytes = location, with_payload, partition_bytes
+    def __init__(self, location: str, with_payload: bool, partition_bytes: int, cores: int = 1):
+        self.location, self.with_payload, self.partition_bytes, self.cores = location, with_payload, partition_bytes, max(1, cores)
         self.tests: list[HeaderTest] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -401,13 +453,16 @@ class WarcReader(DataSourceReader):
                 self.tests.append(test)
 
     def partitions(self) -> Sequence[Files]:
+        """Files put together up to the size of a partition, which is smaller where there are cores to spare."""
         sizes = list_files(self.location)
         groups: list[list[str]] = []
         room = 0
+        share = max(SMALLEST_PARTITION, sum(size for _, size in sizes) // self.cores)
+        most = min(self.partition_bytes, share)
         for file, size in sizes:
             if size > room or not groups:
                 groups.append([])
-                room = self.partition_bytes
+                room = most
             groups[-1].append(file)
             room -= size
         return [Files(group) for group in groups]
@@ -442,7 +497,7 @@ def list_files(location: str) -> list[tuple[str, int]]:
 
 
 class WarcDataSource(DataSource):
-    """Options: `path`, `payload` (true), `maxPartitionBytes`, `level` of compression (6)."""
+    """Options: `path`, `payload` (true), `maxPartitionBytes`, `cores` to read with (1), `level` of compression (6)."""
 
     @classmethod
     def name(cls) -> str:
@@ -453,7 +508,9 @@ class WarcDataSource(DataSource):
 
     def reader(self, schema) -> WarcReader:
         payload = str(self.options.get("payload", "true")).lower() == "true"
-        return WarcReader(self.options["path"], payload, int(self.options.get("maxPartitionBytes", PARTITION_BYTES)))
+        return WarcReader(
+            self.options["path"], payload, int(self.options.get("maxPartitionBytes", PARTITION_BYTES)), int(self.options.get("cores", 1))
+        )
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("level", 6)), overwrite)
@@ -462,7 +519,8 @@ class WarcDataSource(DataSource):
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("cores", cores).load(path)
 
 
 def write_warc(records: DataFrame, path: str, mode: str = "append") -> None:
@@ -479,21 +537,22 @@ _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """A record per page (page_id, url, html): of equal payloads, all but that of the largest page_id revisit it.
 
-    Payloads of fewer than `least_bytes` are all responses. Pages without id revisit a page with one, if any
+    Payloads of fewer than `least_bytes` are all responses. Ids are whole numbers. Pages without id revisit a page with one, if any
     has the same payload, and are responses otherwise; pages that share the largest id are all responses.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(
         {"payload_length": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")}
     )
-    repeated = (
+    # A payload of very many pages is looked up where these are; the rest is brought together by digest.
+    repeated = written(
         rows.where(F.col("payload_length") >= least_bytes).groupBy("digest")
-        .agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select(F.col("digest").alias("same"), "latest")
+        .agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "repeated",
     )
     revisits = F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
     urn = lambda column: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(">"))
-    return rows.join(repeated, F.col("digest") == F.col("same"), "left").select(
+    return with_facts(rows, repeated, "digest", "n", "left").select(
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
         urn("page_id").alias("record_id"),
         F.col("url").alias("target_uri"),

@@ -90,6 +90,59 @@ def test_other_archives(spark, tmp_path, name, data, payload):
     assert read_warc(spark, str(path)).where("record_id = '<r3>'").collect()[0]["payload"] == b"D" * 120_000
 
 
+@pytest.mark.parametrize("data", [
+    gzip.compress(b"".join(records())),
+    gzip.compress(b"".join(records()[:2])) + gzip.compress(b"".join(records()[2:])),
+    member(b"".join(records()), 6),
+    member(records()[0], 6) + gzip.compress(b"".join(records()[1:4])) + member(records()[4], 6) + gzip.compress(b""),
+    gzip.compress(b"\r\n" + b"\r\n".join(records()).rstrip(b"\r\n")),
+])
+@pytest.mark.parametrize("payload", [True, False])
+def test_members_of_several_records(spark, tmp_path, data, payload):
+    path = tmp_path / "several.warc.gz"
+    path.write_bytes(data)
+    read = lambda: read_warc(spark, str(path), payload)
+    rows = sorted(read().collect(), key=lambda row: row["record_id"])
+    assert [row["record_id"] for row in rows] == [f"<r{i}>" for i in range(5)]
+    assert [row["payload"] for row in rows] == [bytes([65 + i]) * (i * 40_000) if payload else None for i in range(5)]
+    assert [row["record_id"] for row in read().where("record_id IN ('<r1>', '<r4>')").orderBy("record_id").collect()] == ["<r1>", "<r4>"]
+    assert read().where("record_type = 'request'").count() == 0
+
+
+@pytest.mark.parametrize("data", [
+    gzip.compress(records()[0] + b"left over"), gzip.compress(b"".join(records()))[:-30], member(records()[3], 6)[:-9] + b"123456789",
+])
+def test_left_over_bytes_raise(spark, tmp_path, data):
+    (tmp_path / "bad.warc.gz").write_bytes(data)
+    with pytest.raises(Exception, match="bad.warc.gz at 0"):
+        read_warc(spark, str(tmp_path / "bad.warc.gz")).collect()
+
+
+def test_cut_off_plain_record_raises(spark, tmp_path):
+    (tmp_path / "bad.warc").write_bytes(records()[1][:-1000])
+    with pytest.raises(Exception, match="truncated record"):
+        read_warc(spark, str(tmp_path / "bad.warc")).collect()
+
+
+@pytest.mark.parametrize("block, payload", [
+    (b"HTTP/1.1 200 OK\r\nA: b", b"HTTP/1.1 200 OK\r\nA: b"), (b"HTTP/1.1 200 OK\r\n\r\n", b""), (b"HTTP/1.1 200 OK\r\n\r\nx\r\n\r\ny", b"x\r\n\r\ny"), (b"", b""),
+])
+def test_payload_of_odd_responses(spark, tmp_path, block, payload):
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(block)
+    (tmp_path / "odd.warc").write_bytes(head + block + b"\r\n\r\n")
+    assert read_warc(spark, str(tmp_path / "odd.warc")).first()["payload"] == payload
+
+
+def test_a_payload_of_many_pages_is_not_brought_to_one_task(spark):
+    """Pages of a payload that is frequent among repeated ones are joined where they are."""
+    rows = [(i, "u", ("x" if i % 3 else f"{i // 6}") * 1200) for i in range(90)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    found = page_records(frame)
+    assert found.where("record_type = 'revisit'").count() == sum(1 for i, _, html in rows if i != max(j for j, _, other in rows if other == html))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
 @pytest.mark.parametrize("data", [b"\x1f\x8b\x08broken", b"HTTP/1.1 200 OK\r\n\r\n", member(records(2)[1], 6)[:-20]])
 def test_broken_records_raise(spark, tmp_path, data):
     (tmp_path / "bad.warc.gz").write_bytes(data)
@@ -111,3 +164,13 @@ def test_files_share_partitions(tmp_path):
     assert [len(p.files) for p in WarcReader(str(tmp_path), True, 250).partitions()] == [2, 2, 2]
     assert [len(p.files) for p in WarcReader(str(tmp_path), True, 50).partitions()] == [1] * 6
     assert len(list_files(str(tmp_path))) == 6
+
+
+def test_partitions_shrink_where_there_are_cores(tmp_path, monkeypatch):
+    from hopboard.llm import warc
+
+    monkeypatch.setattr(warc, "SMALLEST_PARTITION", 150)
+    for i in range(8):
+        (tmp_path / f"{i}.warc").write_bytes(b"x" * 100)
+    sizes = lambda cores: [len(p.files) for p in warc.WarcReader(str(tmp_path), True, 10_000, cores).partitions()]
+    assert sizes(1) == [8] and sizes(4) == [2, 2, 2, 2] and sizes(1000) == [1] * 8
