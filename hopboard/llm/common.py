@@ -92,7 +92,7 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(differs) + 1
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
     """Rows joined (inner or left) with the facts on their key; `facts` is a written table with the `count` of rows of each key.
 
     A key may hold any share of the rows. No more than HEAVY keys can each have a share of 1 / HEAVY; the facts

@@ -3,34 +3,40 @@
 A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. An index holds
 the exact number of documents of every key, and for each shard of the keys a cuckoo filter of those that
 have reached the limit. Inserting or deleting documents adds up counts; only keys that cross the limit
-touch a filter, once per crossing, so that deletions undo insertions exactly. To clean documents, lines
-are looked up in the filters, shard by shard with one filter in memory, and the few that pass are
-confirmed by the counts. Very frequent keys, of which there can be HEAVY at most, skip that: they are
-sent to all tasks and decided where the lines are, so that no shard gets more than its share.
+touch a filter, once per crossing, so that deletions undo insertions exactly. A filter that has no room for its
+crossings is built anew from the counts, and shards split when they hold more keys than meant. The index knows its
+documents: inserting one again changes nothing.
+
+To clean documents, lines are looked up in the filters, shard by shard with one filter in memory, and the few that
+pass are confirmed by the counts. A key in HOT_DOCS documents or more, and with a share of all counts that no more
+than HEAVY keys can have, would make a hot shard: such keys are sent to all tasks and decided where the lines are.
 
 Defined cases: a null or empty text is one empty line. Lines whose key has fewer code points than
 `min_chars` are never counted. Documents are told apart by id and text: rows that repeat both count once,
-rows without an id count by their texts, and every row is cleaned. Deleting what was never inserted
-raises. An empty index drops nothing. Other columns are passed on by `clean`; its own columns replace
-those of the same name.
+rows without an id count by their texts, and every row is cleaned. Deleting a document that is not in the index
+raises; documents without a counted line are never in it. An empty index drops nothing. Other columns are passed
+on by `clean`; its own columns replace those of the same name.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopboard.llm.common import HEAVY, text_key, texts, whole_groups, written
+from hopboard.llm.common import HEAVY, text_key, texts, whole_groups, with_facts, written
 
 KEYS_PER_SHARD = 200_000
+HOT_DOCS = 20_000
 _SLOTS = 4
 _BLANK = b" \t\n\v\f\r"
+_FILTER = "shard bigint, slots binary"
+_DOCUMENT = "doc_id bigint, text_key bigint"
 
 
 class CuckooFilter:
@@ -135,26 +141,35 @@ def line_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return written(source.mapInArrow(_keys_of(min_chars), schema).distinct(), "lines")
 
 
-def _updated_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter of each shard after its crossings; a full one is built anew from the keys in it."""
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     for table, bounds in whole_groups(batches, ["shard"]):
         for start, stop in zip(bounds[:-1], np.append(bounds[1:], table.num_rows)):
-            rows = table.slice(start, stop - start)
-            slots = [data for data in rows["slots"].to_pylist() if data is not None]
-            change, high, low = (rows[name].to_numpy() for name in ("change", "high", "low"))
-            current = CuckooFilter.from_bytes(slots[0]) if slots else CuckooFilter()
-            current.delete(high[change < 0], low[change < 0])
-            if not current.insert(high[change > 0], low[change > 0]):
-                buckets, kept = len(current.slots), change >= 0
-                kept &= np.array([data is None for data in rows["slots"].to_pylist()])
-                while True:
-                    buckets *= 2
-                    current = CuckooFilter(buckets=buckets)
-                    if current.insert(high[kept], low[kept]):
-                        break
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([rows["shard"][0].as_py()], pa.int64()), "slots": pa.array([current.to_bytes()], pa.binary())}
-            )
+            yield table.slice(start, stop - start)
+
+
+def _filter_row(shard: int, slots: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "slots": pa.array([slots], pa.binary())})
+
+
+def _built_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of each shard from all of its keys, about two thirds full."""
+    for rows in _shards_of(batches):
+        high, low = rows["high"].to_numpy(), rows["low"].to_numpy()
+        buckets = max(64, 1 << (int(len(high) / (_SLOTS * 0.85))).bit_length())
+        while not (current := CuckooFilter(buckets=buckets)).insert(high, low):
+            buckets *= 2
+        yield _filter_row(rows["shard"][0].as_py(), current.to_bytes())
+
+
+def _updated_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of each shard after its crossings; null for one that has no room for them."""
+    for rows in _shards_of(batches):
+        slots = [data for data in rows["slots"].to_pylist() if data is not None]
+        change, high, low = (rows[name].to_numpy() for name in ("change", "high", "low"))
+        current = CuckooFilter.from_bytes(slots[0]) if slots else CuckooFilter()
+        current.delete(high[change < 0], low[change < 0])
+        room = current.insert(high[change > 0], low[change > 0])
+        yield _filter_row(rows["shard"][0].as_py(), current.to_bytes() if room else None)
 
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,66 +192,96 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(passed)).select(["doc_id", "text_key", "high", "low"])
 
 
+def _documents(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "text_key").distinct()
+
+
+def _same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """Counts (high, low, n_docs) of all keys, and filters (shard, slots) of those in at least `min_docs` documents."""
+    """Counts (high, low, n_docs) of all keys, filters (shard, slots) of those in at least `min_docs` documents, and the documents."""
 
     counts: DataFrame
     filters: DataFrame
+    documents: DataFrame | None
     min_docs: int
     shards: int
 
     @classmethod
     def empty(cls, spark: SparkSession, min_docs: int, shards: int) -> LineIndex:
         counts = spark.createDataFrame([], "high bigint, low bigint, n_docs bigint")
-        return cls(counts, spark.createDataFrame([], "shard bigint, slots binary"), min_docs, shards)
+        return cls(counts, spark.createDataFrame([], "shard bigint, slots binary"), None, min_docs, shards)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, min_docs: int, shards: int) -> LineIndex:
-        return cls(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/filters"), min_docs, shards)
+        counts, filters, documents = (spark.read.parquet(f"{path}/{part}") for part in ("counts", "filters", "documents"))
+        return cls(counts, filters, documents, min_docs, shards)
 
     def save(self, path: str) -> None:
-        self.counts.write.parquet(f"{path}/counts")
-        self.filters.write.parquet(f"{path}/filters")
+        documents = self.counts.sparkSession.createDataFrame([], _DOCUMENT) if self.documents is None else self.documents
+        for name, part in (("counts", self.counts), ("filters", self.filters), ("documents", documents)):
+            part.write.parquet(f"{path}/{name}")
 
     def insert(self, lines: DataFrame) -> LineIndex:
-        """Index with these documents too; they must not be in it yet."""
-        return self._changed(lines, 1)
+        """Index with these documents too; those that are in it already change nothing."""
+        if self.documents is None:
+            return self._changed(lines, 1, _documents(lines))
+        new = written(lines.join(self.documents, _same_document(lines, self.documents), "left_anti"), "new_lines")
+        return self._changed(new, 1, written(self.documents.unionByName(_documents(new)), "documents"))
 
     def delete(self, lines: DataFrame) -> LineIndex:
-        """Index without these documents, which must be in it."""
-        return self._changed(lines, -1)
+        """Index without these documents, all of which must be in it."""
+        gone = _documents(lines)
+        known = (lines.limit(0).select("doc_id", "text_key") if self.documents is None else self.documents).withColumn("known", F.lit(True))
+        refused = F.raise_error(F.lit("a document to delete was never inserted")).cast("boolean")
+        checked = gone.join(known.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"), "known"),
+                            F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key")), "left")
+        gone = written(checked.select("doc_id", "text_key", F.coalesce("known", refused).alias("known")), "gone").drop("known")
+        left = gone if self.documents is None else self.documents.join(gone, _same_document(self.documents, gone), "left_anti")
+        return self._changed(lines, -1, written(left, "documents"))
 
     def shard(self) -> Column:
         return F.pmod(F.col("low"), F.lit(self.shards))
 
-    def _changed(self, lines: DataFrame, sign: int) -> LineIndex:
+    def _changed(self, lines: DataFrame, sign: int, documents: DataFrame) -> LineIndex:
         batch = lines.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"))
         both = self.counts.select("high", "low", F.col("n_docs").alias("old"), F.lit(0).cast("bigint").alias("new")).unionByName(
             batch.select("high", "low", F.lit(0).cast("bigint").alias("old"), (sign * F.col("n")).alias("new"))
         )
-        summed = both.groupBy("high", "low").agg(F.sum("old").alias("old"), F.sum(F.col("old") + F.col("new")).alias("n_docs"))
-        refused = F.raise_error(F.lit("a document to delete was never inserted")).cast("bigint")
-        summed = written(summed.withColumn("n_docs", F.when(F.col("n_docs") < 0, refused).otherwise(F.col("n_docs"))), "counts")
+        summed = written(both.groupBy("high", "low").agg(F.sum("old").alias("old"), F.sum(F.col("old") + F.col("new")).alias("n_docs")), "counts")
+        counts = summed.where("n_docs > 0").select("high", "low", "n_docs")
         was, now = F.col("old") >= self.min_docs, F.col("n_docs") >= self.min_docs
-        # Keys that stay come along with change 0: a full filter is built anew from the exact counts.
-        keys = summed.where(was | now).select(
+        shards, frequent = self.shards, summed.where(now).select("high", "low")
+        n_frequent = frequent.count()
+        while n_frequent > 2 * KEYS_PER_SHARD * shards:
+            shards *= 2
+        index = LineIndex(counts, self.filters, documents, self.min_docs, shards)
+        by_shard = lambda rows: rows.repartition("shard").sortWithinPartitions("shard")
+        build = lambda keys: by_shard(keys.select(index.shard().alias("shard"), "high", "low")).mapInArrow(_built_filters, _FILTER)
+        if self.documents is None or shards != self.shards:
+            return replace(index, filters=written(build(frequent), "filters"))
+        crossing = summed.where(was != now).select(
             self.shard().alias("shard"), "high", "low", (now.cast("int") - was.cast("int")).alias("change"), F.lit(None).cast("binary").alias("slots")
         )
-        held = self.filters.select("shard", F.lit(0).cast("bigint").alias("high"), F.lit(0).cast("bigint").alias("low"), F.lit(0).alias("change"), "slots")
-        filters = (
-            held.unionByName(keys).repartition("shard").sortWithinPartitions("shard")
-            .mapInArrow(_updated_filters, "shard bigint, slots binary")
-        )
-        counts = summed.where("n_docs > 0").select("high", "low", "n_docs")
-        return LineIndex(counts, written(filters, "filters"), self.min_docs, self.shards)
+        zero = F.lit(0).cast("bigint")
+        held = self.filters.select("shard", zero.alias("high"), zero.alias("low"), F.lit(0).alias("change"), "slots")
+        updated = written(by_shard(held.unionByName(crossing)).mapInArrow(_updated_filters, _FILTER), "filters")
+        full = [row["shard"] for row in updated.where("slots IS NULL").select("shard").collect()]
+        if full:
+            updated = updated.where("slots IS NOT NULL").unionByName(build(frequent.where(self.shard().isin(full))))
+            updated = written(updated, "filters")
+        return replace(index, filters=updated)
 
     def frequent_lines(self, lines: DataFrame) -> DataFrame:
         """Those (doc_id, text_key, high, low) whose key is in at least `min_docs` documents of the index."""
         frequent = self.counts.where(F.col("n_docs") >= self.min_docs)
         total = self.counts.agg(F.sum("n_docs")).first()[0] or 0
         # No more than HEAVY keys can each have a share of 1 / HEAVY of all counts.
-        heavy = F.broadcast(frequent.where(F.col("n_docs") * HEAVY >= total).select("high", "low"))
+        is_heavy = (F.col("n_docs") >= HOT_DOCS) & (F.col("n_docs") * HEAVY >= total)
+        heavy = F.broadcast(frequent.where(is_heavy).select("high", "low"))
         decided = lines.join(heavy, ["high", "low"], "left_semi")
         rest = lines.join(heavy, ["high", "low"], "left_anti")
         probes = rest.select(self.shard().alias("shard"), F.lit(True).alias("is_line"), "doc_id", "text_key", "high", "low", F.lit(None).cast("binary").alias("slots"))
@@ -286,8 +331,11 @@ def clean(docs: DataFrame, index: LineIndex, lines: DataFrame, keep_first: bool
     """
     drops = index.frequent_lines(lines)
     if keep_first:
-        firsts = drops.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-        drops = drops.join(firsts, ["high", "low"]).where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
+        drops = written(drops, "drops")
+        firsts = written(
+            drops.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts"
+        )
+        drops = with_facts(drops, firsts, ["high", "low"], "n").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
     by_doc = drops.groupBy(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).agg(
         F.collect_list(F.struct("high", "low")).alias("drops")
     )

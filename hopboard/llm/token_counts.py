@@ -13,8 +13,9 @@ Bytes outside all sections count for none (`n_outside`), so section counts and t
 the document. Without given sections, a document's lines are its sections, each with its line end.
 
 Defined cases: null and empty texts have no tokens and, by lines, one empty section. Sections that are empty
-or reach past the text get what is inside; sections of a document must not overlap, else it raises. Rows
-are reported one by one. Sections of ids that no document has are left out. Other columns are not read.
+or reach past the text get what is inside; one without start begins with the text, one without stop ends
+with it, and a null name stays null. Sections of a document must not overlap, else it raises. Rows are
+reported one by one. Sections of ids that no document has are left out. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -105,7 +106,8 @@ def _counted(vocabulary: bytes, rule: str, given: bool):
                 ends = np.cumsum(lengths[tokenizer.encode_ordinary(text.decode())]) if text else np.array([], np.int64)
                 if given:
                     listed = sorted(listed or [], key=lambda s: (s["start"], s["stop"], str(s["name"])))
-                    starts, stops = (byte_offsets(text, np.array([s[at] for s in listed], np.int64)) for at in ("start", "stop"))
+                    starts = byte_offsets(text, np.array([s["start"] for s in listed], np.int64))
+                    stops = byte_offsets(text, np.array([s["stop"] for s in listed], np.int64))
                     full = stops > starts
                     if (starts[full][1:] < stops[full][:-1]).any():
                         raise ValueError("sections of a document overlap")
@@ -117,7 +119,7 @@ def _counted(vocabulary: bytes, rule: str, given: bool):
                 out["n_crossing"].append(crossing)
                 out["n_outside"].append(max(0.0, float(len(ends) - counts.sum())))
                 out["section_tokens"].append(counts.tolist())
-                out["section_names"].append([str(s["name"]) for s in listed] if given else [])
+                out["section_names"].append([s["name"] for s in listed] if given else [])
             doubles = pa.list_(pa.float64())
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), doubles, pa.list_(pa.string())]
             yield pa.RecordBatch.from_pydict(
@@ -138,7 +140,11 @@ def token_counts(docs: DataFrame, vocabulary: bytes, rule: str = "largest", sect
     rows = docs.select("doc_id", "text")
     if sections is not None:
         listed = sections.groupBy(F.col("doc_id").alias("of")).agg(
-            F.collect_list(F.struct(F.col("name").cast("string").alias("name"), F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))).alias("sections")
+            F.collect_list(F.struct(
+                F.col("name").cast("string").alias("name"),
+                F.coalesce(F.col("start").cast("bigint"), F.lit(0)).alias("start"),
+                F.coalesce(F.col("stop").cast("bigint"), F.lit(2**62)).alias("stop"),
+            )).alias("sections")
         )
         rows = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "sections")
     schema = (

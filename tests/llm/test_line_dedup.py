@@ -1,7 +1,12 @@
+from dataclasses import replace
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from hopboard.llm import line_dedup
 from hopboard.llm.line_dedup import CuckooFilter, LineIndex, build_index, clean, line_keys
 
 BLANK = " \t\n\v\f\r"
@@ -42,6 +47,56 @@ def test_matches_brute_force(docs):
         assert cleaned(frame, build_index(lines, min_docs), lines) == expected(TEXTS, min_docs, min_chars)
 
 
+def test_filters_decide_most_frequent_keys(spark):
+    """On the small tables no key is hot: all frequent ones go through the filters."""
+    lines = line_keys(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    index = build_index(lines, 10)
+    frequent = index.counts.where("n_docs >= 10").count()
+    members = sum((CuckooFilter.from_bytes(bytes(r["slots"])).slots > 0).sum() for r in index.filters.collect())
+    assert frequent == members > 0
+    assert index.counts.where(f"n_docs >= {line_dedup.HOT_DOCS}").isEmpty()
+    without = replace(index, filters=index.filters.limit(0))
+    assert without.frequent_lines(lines).isEmpty() and not index.frequent_lines(lines).isEmpty()
+
+
+def test_hot_keys_are_decided_where_the_lines_are(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 1)
+    frame = docs(TEXTS)
+    lines = line_keys(frame)
+    index = build_index(lines, 2)
+    assert cleaned(frame, replace(index, filters=index.filters.limit(0)), lines) == expected(TEXTS, 2)
+
+
+def test_documents_are_inserted_once_and_ghosts_refused(spark, docs):
+    frame = docs(TEXTS)
+    first, second = line_keys(frame.where("doc_id < 7")), line_keys(frame.where("doc_id >= 5"))
+    whole = LineIndex.empty(spark, 2, 4).insert(first).insert(second)
+    counts = lambda index: sorted(map(tuple, index.counts.collect()))
+    assert counts(whole) == counts(build_index(line_keys(frame), 2)) == counts(whole.insert(second))
+    # Known lines of documents that were never there: counts alone would not tell.
+    ghosts = line_keys(frame.withColumn("doc_id", F.col("doc_id") + 100).limit(4))
+    with pytest.raises(Exception, match="never inserted"):
+        whole.delete(ghosts)
+    with pytest.raises(Exception, match="never inserted"):
+        whole.delete(second).delete(second)
+    assert counts(whole.delete(second).insert(second)) == counts(whole)
+
+
+def test_shards_split_and_full_filters_are_built_anew(spark, monkeypatch):
+    rows = lambda first, n: spark.createDataFrame([(i, "\n".join(f"line {k}" for k in range(first, first + n))) for i in (1000 * first, 1000 * first + 1)], "doc_id long, text string")
+    a, b = line_keys(rows(0, 300)), line_keys(rows(300, 3000))
+    start = LineIndex.empty(spark, 2, 1).insert(a)
+    grown = start.insert(b)
+    assert grown.shards == 1 and grown.filters.count() == 1
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 200)
+    split = start.insert(b)
+    assert split.shards == 16 and split.filters.count() == 16
+    for index in (grown, split):
+        assert index.frequent_lines(b).count() == 6000 and index.frequent_lines(a).count() == 600
+        back = index.delete(b)
+        assert back.frequent_lines(a).count() == 600 and back.frequent_lines(b).count() == 0
+
+
 def test_filters_decide_without_heavy_keys(docs, monkeypatch):
     monkeypatch.setattr("hopboard.llm.line_dedup.HEAVY", 0)
     frame = docs(TEXTS)

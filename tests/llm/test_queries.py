@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hopboard.llm.common import written
@@ -108,6 +109,8 @@ def test_pipeline_stages(spark, duck):
 def test_pipeline_on_odd_documents(spark, tmp_path):
     rows = [(1, None), (2, ""), (2, ""), (None, "some words\nof a text"), (None, "some words\nof a text"), (3, " \n "), (4, "word " * 30_000)]
     frame = spark.createDataFrame([(*row, "en", None, 5, 0.5, "x") for row in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, row string")
+    for clash in ("__no_text", "__text_key", "__row", "found_id", "no_text", "given"):
+        frame = frame.withColumn(clash, F.lit("mine"))
     for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
@@ -116,5 +119,6 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:]:
         frame = written(stage(spark, frame, str(tmp_path)), name)
         assert frame.schema["score"].dataType.simpleString() == "double" and "row" in frame.columns
+        assert frame.where("__no_text <> 'mine' OR __text_key <> 'mine' OR found_id <> 'mine' OR given <> 'mine'").isEmpty()
     got = sorted(((row["doc_id"], row["text"] and row["text"][:10], row["score"]) for row in frame.collect()), key=str)
     assert got == sorted([(1, None, 0.5), (2, "", 0.5), (None, "some words", 0.5), (3, " \n ", 0.5), (4, "word word ", 0.5)], key=str)

@@ -73,6 +73,15 @@ def test_given_sections(spark, docs, vocabulary):
         token_counts(docs(TEXTS), vocabulary, "first", overlapping).collect()
 
 
+def test_sections_without_bounds_or_name(spark, docs, vocabulary):
+    rows = [(0, "head", None, 5), (0, None, 5, None), (1, "all", None, None), (2, "none", None, 0)]
+    sections = spark.createDataFrame(rows, "doc_id long, name string, start long, stop long")
+    found = {row["doc_id"]: row for row in token_counts(docs(["some words of a text", "more words", None]), vocabulary, "shared", sections).collect()}
+    assert found[0]["section_names"] == ["head", None]
+    assert sum(found[0]["section_tokens"]) == pytest.approx(found[0]["n_tokens"]) and found[0]["n_outside"] == pytest.approx(0)
+    assert found[1]["section_tokens"] == [found[1]["n_tokens"]] and found[2]["section_tokens"] == [0]
+
+
 def test_odd_inputs(spark, docs, vocabulary):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts(rows, vocabulary).collect()), key=str) == sorted([(1, 2), (1, 2), (None, 1), (None, 0)], key=str)
