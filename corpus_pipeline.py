@@ -38,20 +38,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = _unpacked(docs)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        columns[docs.columns.index("n_chars")] = F.when(changed, length).otherwise(F.col("__row.n_chars")).alias("n_chars")
+        columns[docs.columns.index("n_chars")] = F.when(changed, length).otherwise(F.col("__row.given.n_chars")).alias("n_chars")
     return cleaned.where(~emptied).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     found = near_duplicates(docs, words=5, percent=80).where("kept")
-    return _with_keys(docs, found, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    key = _free_name(docs)
+    return _with_keys(docs, found, "left_semi", key).dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"), window=10).where("contaminated")
-    return _with_keys(docs, found, "left_anti").select(*docs.columns)
+    return _with_keys(docs, found, "left_anti", _free_name(docs)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,17 +82,26 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id and text, and all else in one column that no result column can clash with."""
     others = [name for name in docs.columns if name != "text"]
-    return docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("__no_text")).alias("__row"))
+    row = F.struct(F.struct(*others).alias("given"), F.col("text").isNull().alias("no_text"))
+    return docs.select("doc_id", "text", row.alias("__row"))
 
 
 def _unpacked(docs: DataFrame) -> list[Column]:
     """The columns of the documents, null texts as they were."""
-    text = F.when(~F.col("__row.__no_text"), F.col("text")).alias("text")
-    return [text if name == "text" else F.col(f"__row.`{name}`").alias(name) for name in docs.columns]
+    text = F.when(~F.col("__row.no_text"), F.col("text")).alias("text")
+    return [text if name == "text" else F.col(f"__row.given.`{name}`").alias(name) for name in docs.columns]
 
 
-def _with_keys(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Documents with (semi) or without (anti) a row of their id and text in `found`."""
+def _with_keys(docs: DataFrame, found: DataFrame, how: str, key: str) -> DataFrame:
+    """Documents with (semi) or without (anti) a row of their id and text in `found`, and the key of their text."""
     keys = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"))
-    keyed = docs.withColumn("__text_key", text_key("text"))
-    return keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("__text_key") == F.col("found_key")), how)
+    keyed = docs.withColumn(key, text_key("text"))
+    return keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["found_id"]) & (keyed[key] == keys["found_key"]), how)
+
+
+def _free_name(docs: DataFrame) -> str:
+    """A name for the key of the text that no column has."""
+    name = "__text_key"
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
