@@ -38,8 +38,10 @@ SEED = 42
 
 # Slots from its target that a source's drawn slots may be away, as a part of the target.
 SPARE = 500
+# Slots that a task fills.
+SLOTS_PER_TASK = 1 << 17
 # Rounds of a permutation, and stretches that the draw of a source is looked up in.
-ROUNDS = 32
+ROUNDS = 24
 STRETCHES = 4096
 
 
@@ -186,7 +188,10 @@ def _slots(sources: DataFrame, slots_per_shard: int, seed: int) -> DataFrame:
     runs = drawn.withColumn("upto", upto).join(limits.where("drawn IS NOT NULL"), "source_no").select(
         "source_no", "blocks", "shard", scaled("(upto - n)").alias("first"), scaled("upto").alias("stop")
     )
-    each = runs.unionByName(unseen).where("first < stop").repartition("source_no", "shard")
+    # Runs are small rows that become many slots; Spark would put them together by their size as they are.
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(sources.sparkSession.sparkContext.defaultParallelism, ceil(total / SLOTS_PER_TASK))
+    each = runs.unionByName(unseen).where("first < stop").repartition(tasks, "source_no", "shard")
     slots = each.select("source_no", "blocks", "shard", F.explode(F.expr("sequence(first, stop - 1)")).alias("slot"))
     index = _permuted(F.expr("slot % blocks"), F.col("blocks"), [F.lit(seed), F.col("source_no"), F.expr("slot div blocks")])
     return slots.select("source_no", "slot", index.alias("index"), "shard")
