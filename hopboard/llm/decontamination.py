@@ -7,9 +7,10 @@ when the block ends at the current position; where it may not move, the block se
 windows, which are compared directly. Windows are divided into classes by length, since the shortest one of
 a table bounds its shifts.
 
-The windows of a benchmark may be more than one task should hold. They are dealt into shards of about
-SHARD windows, the documents are read once for each shard, and the occurrences are put together by
-document. Shards are collected one at a time to build the search.
+The windows of a benchmark may be more than one task should hold. They are dealt into shards of about SHARD windows,
+files in the shared folder. The documents are read once: a task takes in some CHUNK bytes of texts and searches them
+for the windows of one shard after the other, with one search table in memory. Neither windows nor texts go through
+the driver or a shuffle. The shared folder must be one that pyarrow can open on all executors.
 
 Defined cases: null, empty and wordless texts have no words; such an item has no windows and such a
 document no hits. An item with fewer words than the window is one window. Items are told apart by id:
@@ -20,17 +21,19 @@ itself. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopboard.llm.common import text_key, texts, written
+from hopboard.llm.common import scratch_path, text_key, texts, written
 
 WINDOW = 10
 SHARD = 20_000
+CHUNK = 32 << 20
 BLOCK_BYTES = 8
 
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -96,34 +99,65 @@ def _windows_of(window: int):
     return run
 
 
-def _searched(strings: dict[bytes, list[str]]):
-    """Hit words as stretches, and the items found, for each document."""
-    classes: dict[int, list[bytes]] = {}
-    for string in strings:
-        classes.setdefault(min(len(string).bit_length(), 6), []).append(string)
+class _Shard:
+    """The windows of one shard, each with the items it is from, and the tables to search for them."""
+
+    def __init__(self, path: str, number: int):
+        system, root = fs.FileSystem.from_uri(path)
+        folder = f"{root}/shard={number}"
+        self.items: dict[bytes, list[str]] = {}
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            for batch in ds.dataset(folder, filesystem=system, format="parquet").to_batches(columns=["string", "item_id"]):
+                for string, item in zip(batch["string"].to_pylist(), batch["item_id"].to_pylist()):
+                    self.items.setdefault(string, []).extend([] if item is None else [item])
+        classes: dict[int, list[bytes]] = {}
+        for string in self.items:
+            classes.setdefault(min(len(string).bit_length(), 6), []).append(string)
+        self.tables = [WuManber(group) for _, group in sorted(classes.items())]
+
+
+def _searched(path: str, shards: int):
+    """Words, hit words and items of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [WuManber(group) for _, group in sorted(classes.items())]
-        for batch in batches:
-            lengths, spans, items = [], [], []
-            for text in texts(batch["text"]):
-                words = words_of(text)
-                line = canonical(words)
-                hits = [hit for table in tables for hit in table.search(line)]
-                lengths.append(len(words))
-                spans.append([{"start": start, "stop": stop} for start, stop in merged(_in_words(line, hits))])
-                items.append(sorted({item for string in {string for _, string in hits} for item in strings[string]}))
+        last: tuple[int, _Shard] | None = None
+        for chunk in _chunks(batches):
+            lines = [canonical(words_of(text)) for batch in chunk for text in texts(batch["text"])]
+            spans: list[list[tuple[int, int]]] = [[] for _ in lines]
+            items: list[set[str]] = [set() for _ in lines]
+            for number in range(shards):
+                if last is None or last[0] != number:
+                    last = None  # The last table goes before the next one is built.
+                    last = number, _Shard(path, number)
+                for row, line in enumerate(lines):
+                    hits = [hit for table in last[1].tables for hit in table.search(line)]
+                    if hits:
+                        spans[row] = merged(sorted(spans[row] + _in_words(line, hits)))
+                        items[row].update(item for string in {string for _, string in hits} for item in last[1].items[string])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"],
-                "text_key": batch["text_key"],
-                "n_words": pa.array(lengths, pa.int64()),
-                "spans": pa.array(spans, _SPANS),
-                "items": pa.array(items, pa.list_(pa.string())),
+                **{name: pa.concat_arrays([batch[name] for batch in chunk]) for name in ("doc_id", "text_key")},
+                "n_words": pa.array([max(0, line.count(b" ") - 1) for line in lines], pa.int64()),
+                "n_hit": pa.array([sum(stop - start for start, stop in found) for found in spans], pa.int64()),
+                "hit_spans": pa.array([[{"start": start, "stop": stop} for start, stop in found] for found in spans], _SPANS),
+                "item_ids": pa.array([sorted(found) for found in items], pa.list_(pa.string())),
             })
 
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches put together up to about CHUNK bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(part.nbytes for part in held) >= CHUNK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -147,20 +181,6 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hit words of each document over all shards."""
-    for batch in batches:
-        hits = [
-            merged(sorted((span["start"], span["stop"]) for spans in shards for span in spans))
-            for shards in batch["spans"].to_pylist()
-        ]
-        yield pa.RecordBatch.from_pydict({
-            **{name: batch[name] for name in ("doc_id", "text_key", "copies", "n_words", "item_ids")},
-            "n_hit": pa.array([sum(stop - start for start, stop in spans) for spans in hits], pa.int64()),
-            "hit_spans": pa.array([[{"start": start, "stop": stop} for start, stop in spans] for spans in hits], _SPANS),
-        })
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_hit, hit_spans (of word numbers), item_ids, contaminated.
 
@@ -171,31 +191,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         .mapInArrow(_windows_of(window), "item_id string, string binary").distinct(),
         "windows",
     )
+    shards = max(1, -(-found.count() // shard))
+    path = scratch_path(docs.sparkSession, "window_shards")
+    found.withColumn("shard", F.pmod(F.xxhash64("string"), F.lit(shards))).repartition("shard").write.partitionBy("shard").parquet(path)
     source = docs.select("doc_id", text_key("text").alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span_type = "array<struct<start: bigint, stop: bigint>>"
-    schema = f"doc_id {kind}, text_key bigint, n_words bigint, spans {span_type}, items array<string>"
-    shards = max(1, -(-found.count() // shard))
-    parts = []
-    for number in range(shards):
-        strings: dict[bytes, list[str]] = {}
-        for row in found.where(F.pmod(F.xxhash64("string"), F.lit(shards)) == number).toLocalIterator():
-            strings.setdefault(bytes(row["string"]), []).extend([] if row["item_id"] is None else [row["item_id"]])
-        parts.append(source.mapInArrow(_searched(strings), schema))
-    # Repeated rows have the same results: sets hold these once, and the rows are dealt out again by their number.
-    by_text = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("doc_id", "text_key")
-        .agg(
-            (F.count(F.lit(1)) / shards).cast("int").alias("copies"),
-            F.max("n_words").alias("n_words"),
-            F.collect_set("spans").alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
-        )
-    )
-    result = f"doc_id {kind}, text_key bigint, copies int, n_words bigint, item_ids array<string>, n_hit bigint, hit_spans {span_type}"
-    return (
-        by_text.mapInArrow(_put_together, result)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-        .select("doc_id", "text_key", "n_words", "n_hit", "hit_spans", "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    schema = (
+        f"doc_id {kind}, text_key bigint, n_words bigint, n_hit bigint, "
+        "hit_spans array<struct<start: bigint, stop: bigint>>, item_ids array<string>"
     )
+    return source.mapInArrow(_searched(path, shards), schema).withColumn("contaminated", F.col("n_hit") > 0)

@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from hopboard.llm import decontamination
 from hopboard.llm.decontamination import WuManber, contamination
 
 
@@ -57,6 +59,30 @@ def test_repeated_rows_and_empty_tables(spark, docs):
     assert contamination(docs(["a"]).limit(0), benchmark).count() == 0
 
 
+def test_documents_are_read_once_however_many_shards(spark, docs, tmp_path, monkeypatch):
+    frame = docs(TEXTS * 3)
+    frame.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "CHUNK", 200)
+    found = contamination(stored, benchmark, 3, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Union" not in plan
+    got = [(r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in found.orderBy("doc_id").collect()]
+    assert got == [row[1:] for row in brute_force(TEXTS * 3, ITEMS, 3)]
+
+
+def test_tables_are_built_once_for_a_task_with_one_shard(spark, tmp_path, monkeypatch):
+    built = []
+    shard = decontamination._Shard
+    monkeypatch.setattr(decontamination, "_Shard", lambda *args: built.append(args) or shard(*args))
+    monkeypatch.setattr(decontamination, "CHUNK", 1)
+    spark.createDataFrame([(b" a b ", "1", 0)], "string binary, item_id string, shard int").write.partitionBy("shard").parquet(str(tmp_path / "w"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text_key": [0, 0], "text": ["x a b", "b a"]})
+    rows = [row for out in decontamination._searched(str(tmp_path / "w"), 1)(iter([batch, batch])) for row in out.to_pylist()]
+    assert [row["n_hit"] for row in rows] == [2, 0, 2, 0] and len(built) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab ", min_size=1, max_size=12), min_size=1, max_size=8), st.text("ab ", max_size=80))
 def test_search_finds_every_occurrence(strings, text):
