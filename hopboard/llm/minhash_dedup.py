@@ -1,17 +1,24 @@
 """Near-duplicate documents by MinHash signatures in an LSH forest, confirmed on whole shingle sets.
 
-A signature has TREES labels of LABEL minima each. A tree orders the documents by one label, and
-documents that share a prefix of it lie together. Two documents are compared where they share a
-prefix of three minima in some tree; in regions of more than BLOCK documents the prefix is one
-minimum longer. Regions that are still larger are compared block by block, so that none of their
-pairs is left out and no task holds more than two blocks. With 20 trees, a pair at similarity 0.85
-misses all sparse regions with a chance of 5e-9 and all regions of the deeper kind with 4e-7 (at
-0.8: 6e-7 and 3e-5). A pair is confirmed on whole sets unless links already found in its block
-connect it. Only links that join something new leave a task, never all pairs of a group.
+A signature has TREES labels of LABEL minima each. Every tree is an order of the documents by one label, in which
+those that share a prefix lie next to each other; the longer the prefix, the nearer. Two documents are compared
+where they share a prefix of DEPTH minima in some tree. A region of more than BLOCK documents is too crowded for that:
+its documents are told apart by one minimum more, and so on region by region until each part is small enough or the
+prefix is `deepest` long, which is the whole label by default. What is still larger then is compared block by block, so
+that none of its pairs is left out and no task holds more than two blocks. Within a block documents are put in
+the order of the label, and neighbours in it, which share the longest prefixes, are compared first: pairs that what is
+found so far connects need no comparison.
+
+With 20 trees a pair at similarity 0.85 misses all regions of depth 3 with a chance of 5e-9, and all regions of depth
+6, if all its regions are crowded, with 8e-5 (at 0.8: 6e-7 and 2e-3); groups of near copies are linked by many
+pairs. With `deepest` = DEPTH no region is cut, and with `margin` = 1 no pair is passed over by its signature; together
+these leave only the chance of depth 3, at the cost of work in the square of crowded regions.
+
+A pair is confirmed on whole sets. Only links that join something new leave a task, never all pairs of a group.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing. Rows are judged
-one by one, so repeated rows and rows that share an id but not a text are each reported; equal sets
-are one class, which is compared once. A null doc_id gives way to any other id as component id.
+one by one, so repeated rows and rows that share an id but not a text are each reported, and rows of one id may all be
+kept; equal sets are one class, which is compared once. A null doc_id gives way to any other id as component id.
 Columns of the input other than the id and the text are not read.
 """
 
@@ -19,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -103,10 +112,19 @@ def _sets(words: int):
     return run
 
 
-def _likely_pairs(signatures: np.ndarray, tree: int, side: np.ndarray, first: int, last: int, least: float):
+def _neighbours(signatures: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions next to each other in the order of the tree's label, those with the longest common prefix first."""
+    labels = signatures.reshape(len(signatures), TREES, LABEL)[:, tree]
+    order = np.lexsort(labels.T[::-1])
+    common = np.cumprod(labels[order[1:]] == labels[order[:-1]], axis=1).sum(axis=1)
+    nearest = np.argsort(-common, kind="stable")
+    return order[:-1][nearest], order[1:][nearest]
+
+
+def _likely_pairs(signatures: np.ndarray, tree: int, side: np.ndarray, first: int, last: int, least: float, deepest: int):
     """Positions of pairs across the two blocks (or within the one) that look similar enough.
 
-    Pairs that share four minima in an earlier tree are left to that tree.
+    Pairs that share `deepest` minima in an earlier tree are in one region there, and left to that tree.
     """
     left = np.flatnonzero(side == first)
     right = left if first == last else np.flatnonzero(side == last)
@@ -118,7 +136,7 @@ def _likely_pairs(signatures: np.ndarray, tree: int, side: np.ndarray, first: in
             likely &= rows[:, None] < right[None, :]
         if tree and likely.any():
             labels = same.reshape(len(rows), len(right), TREES, LABEL)
-            likely &= ~labels[:, :, :tree, : DEPTH + 1].all(axis=3).any(axis=2)
+            likely &= ~labels[:, :, :tree, :deepest].all(axis=3).any(axis=2)
         x, y = np.nonzero(likely)
         yield rows[x], right[y]
 
@@ -126,7 +144,7 @@ def _likely_pairs(signatures: np.ndarray, tree: int, side: np.ndarray, first: in
 _GROUP = ["region", "low", "high"]
 
 
-def _flagged(least: float):
+def _flagged(least: float, deepest: int):
     """Rows of each pair of blocks that have a likely partner there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +153,14 @@ def _flagged(least: float):
             tree, side, low, high = (table[name].to_numpy() for name in ("tree", "block", "low", "high"))
             wanted = np.zeros(table.num_rows, bool)
             for start, stop in zip(bounds[:-1], np.append(bounds[1:], table.num_rows)):
-                for x, y in _likely_pairs(signatures[start:stop], int(tree[start]), side[start:stop], low[start], high[start], least):
+                for x, y in _likely_pairs(signatures[start:stop], int(tree[start]), side[start:stop], low[start], high[start], least, deepest):
                     wanted[start + x] = wanted[start + y] = True
             yield from table.filter(pa.array(wanted)).to_batches()
 
     return run
 
 
-def _links(least: float, percent: int):
+def _links(least: float, percent: int, deepest: int):
     """Confirmed links of each pair of blocks, without those that others of the block imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +172,9 @@ def _links(least: float, percent: int):
             for start, stop in zip(bounds[:-1], np.append(bounds[1:], table.num_rows)):
                 sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in range(start, stop)]
                 joined = LocalSets(len(sets))
-                for xs, ys in _likely_pairs(signatures[start:stop], int(tree[start]), side[start:stop], low[start], high[start], least):
+                here, number = signatures[start:stop], int(tree[start])
+                near = [_neighbours(here, number)] if low[start] == high[start] else []
+                for xs, ys in chain(near, _likely_pairs(here, number, side[start:stop], low[start], high[start], least, deepest)):
                     for x, y in zip(xs.tolist(), ys.tolist()):
                         if joined.find(x) != joined.find(y) and similar(sets[x], sets[y], percent):
                             joined.join(x, y)
@@ -174,7 +194,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK, deepest: int = LABEL, margin: float = MARGIN
+) -> DataFrame:
     """One row per document (doc_id, text_key, n_shingles, component_id, kept), for a frame with doc_id and text.
 
     `text_key` tells rows apart that share an id; it is `common.text_key` of the text.
@@ -188,11 +210,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
         .select(F.monotonically_increasing_id().alias("class_id"), "set_key", "first.doc_id", "first.text_key", "signature", "copies"),
         "classes",
     )
-    flagged = _flagged_rows(classes, percent, block)
+    least = percent / 100 - margin
+    flagged = _flagged_rows(classes, least, block, deepest)
     sets = _sets_of(source, classes, flagged, words)
     links = (
         flagged.join(sets, "class_id").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-        .mapInArrow(_links(percent / 100 - MARGIN, percent), "a bigint, b bigint")
+        .mapInArrow(_links(least, percent, deepest), "a bigint, b bigint")
     )
     linked = components(links).withColumnsRenamed({"node": "class_id"})
     members = written(linked.join(classes.select("class_id", "set_key", "doc_id"), "class_id"), "members")
@@ -211,22 +234,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     return judged.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _prefix(depth: int) -> Column:
-    label = F.expr(f"substring(signature, tree * {2 * LABEL} + 1, {2 * depth})")
-    return F.xxhash64("tree", label)
-
-
-def _flagged_rows(classes: DataFrame, percent: int, block: int) -> DataFrame:
+def _regions(classes: DataFrame, block: int, deepest: int) -> DataFrame:
+    """Regions (class_id, tree, region, size) of two documents or more, each as deep as its crowd asks for."""
+    label = F.expr(f"substring(signature, tree * {2 * LABEL} + 1, {2 * LABEL})").alias("label")
+    rows = classes.select("class_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("class_id", "tree", label)
+    parts = []
+    for depth in range(DEPTH, deepest + 1):
+        at = rows.withColumn("region", F.xxhash64("tree", F.substring("label", 1, 2 * depth)))
+        sizes = written(at.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        placed = written(with_facts(at, sizes, "region", "size"), "regions")
+        done = F.lit(True) if depth == deepest else F.col("size") <= block
+        parts.append(placed.where(done).select("class_id", "tree", "region", "size"))
+        rows = placed.where(~done).select("class_id", "tree", "label")
+        if depth == deepest or rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _flagged_rows(classes: DataFrame, least: float, block: int, deepest: int) -> DataFrame:
     """Classes with a likely partner, as rows of the pair of blocks in which they meet."""
-    trees = classes.select("class_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "class_id", "tree", _prefix(DEPTH).alias("near"), _prefix(DEPTH + 1).alias("deep")
-    )
-    crowds = written(trees.groupBy("near").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
-    placed = written(with_facts(trees, crowds, "near", "size"), "regions")
-    sparse = placed.where(F.col("size") <= block).select("class_id", "tree", F.col("near").alias("region"), "size")
-    crowded = placed.where(F.col("size") > block).select("class_id", "tree", F.col("deep").alias("region"))
-    sizes = written(crowded.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    regions = sparse.unionByName(with_facts(crowded, sizes, "region", "size").select("class_id", "tree", "region", "size"))
+    regions = _regions(classes, block, deepest)
     blocks = F.ceil(F.col("size") / block).cast("int")
     paired = (
         regions.join(classes.select("class_id", "signature"), "class_id")
@@ -235,7 +262,7 @@ def _flagged_rows(classes: DataFrame, percent: int, block: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tree", "class_id", "signature")
     )
-    kept = paired.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_flagged(percent / 100 - MARGIN), paired.schema)
+    kept = paired.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_flagged(least, deepest), paired.schema)
     return written(kept, "flagged")
 
 
