@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopboard.llm.common import components, whole_groups, written
+from hopboard.llm.common import components, whole_groups, with_facts, written
 
 BLOCK = 1024
 ROWS_PER_CELL = 1024
@@ -82,6 +82,8 @@ def _assigned(centroids: dict[int, np.ndarray], sine: float):
     """A row for the home cell and one for each visited cell of every vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Distances of unit centroids from their products, once for each task.
+        distances = {size: np.sqrt(np.maximum(2 - 2 * (means @ means.T), 0)) for size, means in centroids.items()}
         for batch in batches:
             sizes = np.asarray(batch["size"])
             source, cells, homes = [], [], []
@@ -92,7 +94,7 @@ def _assigned(centroids: dict[int, np.ndarray], sine: float):
                 if means is None or len(means) < 2:
                     source.append(rows), cells.append(np.zeros(len(rows), int)), homes.append(np.ones(len(rows), bool))
                     continue
-                gaps = np.linalg.norm(means[:, None, :] - means[None, :, :], axis=2)
+                gaps = distances[int(size)]
                 for start in range(0, len(rows), 1024):
                     part = rows[start : start + 1024]
                     products = np.frombuffer(b"".join(units[i] for i in part)).reshape(len(part), -1) @ means.T
@@ -178,17 +180,18 @@ def linked_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     counts = found.where("b < 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b >= 0").select("a", "b")).withColumnsRenamed({"node": "class_id"})
     members = written(roots.join(classes.select("class_id", "first_id"), "class_id"), "members")
-    smallest = members.groupBy("root").agg(F.min("first_id").alias("smallest"))
-    grouped = members.select("root", "class_id").join(smallest, "root").select("class_id", "smallest")
-    summary = (
+    smallest = written(members.groupBy("root").agg(F.min("first_id").alias("smallest"), F.count(F.lit(1)).alias("classes")), "smallest")
+    grouped = with_facts(members.select("root", "class_id"), smallest, "root", "classes").select("class_id", "smallest")
+    summary = written(
         classes.select("class_id", "key", "copies", "first_id").join(counts, "class_id", "left").join(grouped, "class_id", "left")
-        .select(F.col("key"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("smallest", "first_id").alias("smallest"))
+        .select(F.col("key"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("smallest", "first_id").alias("smallest"), "copies"),
+        "summary",
     )
     # Rows that link with nothing get keys of their own: nulls would all meet in one task.
     key = F.coalesce("key", F.concat(F.lit("row"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"))
     component = F.when(F.col("links").isNotNull(), F.col("smallest")).otherwise(F.col("vec_id"))
     return (
-        rows.select("vec_id", key.alias("key")).join(summary, "key", "left")
+        with_facts(rows.select("vec_id", key.alias("key")), summary, "key", "copies", "left")
         .select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
@@ -213,10 +216,13 @@ def _blocks(placed: DataFrame) -> DataFrame:
 
     The two are numbered apart: home rows are few of a cell's rows, and so are the copies of visiting rows.
     """
-    sizes = placed.groupBy("place").agg(
-        F.ceil(F.count_if("home") / BLOCK).cast("int").alias("lows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("highs")
+    sizes = written(
+        placed.groupBy("place").agg(
+            F.ceil(F.count_if("home") / BLOCK).cast("int").alias("lows"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("highs"), F.count(F.lit(1)).alias("n")
+        ).where("lows > 0"),
+        "sizes",
     )
-    dealt = placed.join(sizes.where("lows > 0"), "place").withColumn("hash", F.xxhash64("class_id", "cell"))
+    dealt = with_facts(placed, sizes, "place", "n").withColumn("hash", F.xxhash64("class_id", "cell"))
     low, high = (F.pmod("hash", count).cast("int") for count in ("lows", "highs"))
     each_low, each_high = (F.explode(F.sequence(F.lit(0), F.col(count) - 1)) for count in ("lows", "highs"))
     columns = ["class_id", "copies", "unit"]
