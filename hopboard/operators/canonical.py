@@ -33,11 +33,10 @@ def resolved_names(names: DataFrame) -> DataFrame:
 
     Rounds double the steps that a pointer has taken. Pointers that have reached an end drop out, so a round joins
     only those still under way; a name that many queries stand under is looked up once, before they are joined with
-    what it points to. A pointer still under way after as many steps as there are queries is in a circle.
+    what it points to. While there is a chain longer than the steps taken, one of its queries is just near enough to
+    the end to get there in the next round; once a round ends no pointer, those left go round in circles.
     """
-    first = written(names.select("query", "canonical"), "names")
-    moving, ended = first, []
-    steps, total = 1, first.count()
+    moving, ended = written(names.select("query", "canonical"), "names"), []
     while not moving.isEmpty():
         # Name after name, once for each: the end of a chain has none, or the pointer of a chain that has ended.
         ahead = moving.select(F.col("query").alias("canonical"), F.col("canonical").alias("next"))
@@ -58,11 +57,11 @@ def resolved_names(names: DataFrame) -> DataFrame:
             ),
             "steps",
         )
-        ended.append(stepped.where("at_end").select("query", "canonical"))
         moving = stepped.where("NOT at_end").select("query", "canonical")
-        steps *= 2
-        if steps > 2 * total:
+        at_end = stepped.where("at_end").select("query", "canonical")
+        if at_end.isEmpty():
             break
+        ended.append(at_end)
     circular = moving.select("query", F.col("query").alias("canonical"), F.lit(True).alias("cyclic"))
     for part in ended:
         circular = circular.unionByName(part.withColumn("cyclic", F.lit(False)))

@@ -92,13 +92,17 @@ def rebuild(
     as_of: datetime,
     stoplist: StoplistProvider | None = None,
     ban: Ban | None = None,
+    bounded: bool = False,
 ) -> None:
     """Build and publish the board of one instant. The stop-list is read anew, and only applied here.
 
-    From sketches, the board is first cut by their stored estimates, so that few are opened.
+    A `bounded` board from sketches is first cut by their stored estimates, so that few are opened. That takes a
+    second job, and pays where very many queries have large sketches.
     """
+    if bounded and params.counter == "exact":
+        raise ValueError("exact counts have no bounds")
     live = buckets.read(spark, *params.live_range(as_of))
-    ranked = top_as_of if params.counter == "exact" else top_bounded
+    ranked = top_bounded if bounded else top_as_of
     boards.publish(ranked(live, params, as_of, stoplist() if stoplist else None, ban), as_of)
 
 
@@ -115,6 +119,7 @@ def start_rebuilding(
     keep_boards: int = 100,
     spare_buckets: int | None = None,
     on_gauges: Gauges | None = None,
+    bounded: bool = False,
 ) -> StreamingQuery:
     """Rebuild the board again and again, whether or not events come in.
 
@@ -122,14 +127,14 @@ def start_rebuilding(
     defaults to the length of the window, so that none is deleted that a batch still writes to.
     Boards are deleted but for the newest `keep_boards`; a reader of an older one would fail.
     `on_gauges` is called after every tick with the size of the board and of the stop-list and the
-    seconds that the rebuild took.
+    seconds that the rebuild took. `bounded` is for `rebuild`.
     """
     spare = params.bucket_count if spare_buckets is None else spare_buckets
 
     def on_tick(_: DataFrame, __: int) -> None:
         as_of, started = clock(), time.monotonic()
         oldest, current = params.live_range(as_of)
-        rebuild(spark, params, buckets, boards, as_of, stoplist, ban)
+        rebuild(spark, params, buckets, boards, as_of, stoplist, ban, bounded)
         seconds = time.monotonic() - started
         if on_gauges:
             words = stoplist() if stoplist else None

@@ -115,6 +115,11 @@ def test_files_of_the_store_are_sorted_by_query(spark, tmp_path):
         assert names == sorted(names) and len(names) > 1
 
 
+def test_exact_boards_are_not_bounded(spark, tmp_path):
+    with pytest.raises(ValueError, match="no bounds"):
+        rebuild(spark, replace(PARAMS, counter="exact"), None, None, NOW, bounded=True)
+
+
 def test_rebuilding_from_sketches_uses_the_cut(spark, tmp_path):
     store, boards = BucketStore(f"{tmp_path}/buckets", PARAMS), SnapshotStore(f"{tmp_path}/boards", PARAMS)
     frame = spark.createDataFrame(random_rows(6), ROWS).where(F.col("bucket_id") >= OLDEST)
@@ -123,7 +128,7 @@ def test_rebuilding_from_sketches_uses_the_cut(spark, tmp_path):
     store.compact(spark, OLDEST, CURRENT, grace_seconds=0)
     store.compact(spark, OLDEST, CURRENT, grace_seconds=0)
     assert store.read(spark, OLDEST, CURRENT).where("estimate IS NULL").isEmpty()
-    rebuild(spark, PARAMS, store, boards, NOW)
+    rebuild(spark, PARAMS, store, boards, NOW, bounded=True)
     want = top_as_of(frame, replace(PARAMS, counter="exact"), NOW).orderBy("rank").collect()
     assert [tuple(row) for row in boards.top(spark, "3", NOW).select("rank", "query", "count").orderBy("rank").collect()] == [tuple(row) for row in want]
 
